@@ -5,6 +5,9 @@ before each block are added. No task sees more than one block; a group that span
 split like any other rows, as long as the order columns tell its rows apart.
 """
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,13 +51,10 @@ def with_group_index(
 ) -> DataFrame:
     """Number the rows of each group from 1 in ``order``; a hot group spans many tasks."""
     indexed = with_row_index(df, [*group, *order], "_index", 0, blocks)
-    first = indexed.groupBy(*group).agg(F.min("_index").alias("_first"))
-    keys = [indexed[g].eqNullSafe(first[g]) for g in group]
-    condition = keys[0]
-    for k in keys[1:]:
-        condition = condition & k
-    return indexed.join(first, condition).select(
-        *[indexed[c] for c in df.columns], (F.col("_index") - F.col("_first") + 1).alias(name)
+    first = indexed.groupBy(*[F.col(g).alias(f"_key_{g}") for g in group]).agg(F.min("_index").alias("_first"))
+    same_group = reduce(and_, [F.col(g).eqNullSafe(F.col(f"_key_{g}")) for g in group])
+    return indexed.join(first, same_group).select(
+        *df.columns, (F.col("_index") - F.col("_first") + 1).alias(name)
     )
 
 
