@@ -100,7 +100,7 @@ def fit_boosted_trees(train: DataFrame, features: list[str], label: str = "label
     frame = frame.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         trees = GBTClassifier(
-            featuresCol="features", labelCol=label, cacheNodeIds=True, checkpointInterval=10, **(BOOSTED | (params or {}))
+            featuresCol="features", labelCol=label, checkpointInterval=10, **(BOOSTED | (params or {}))
         ).fit(frame)
     finally:
         frame.unpersist()

@@ -29,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local-mode session without that setting gets a temporary folder of its own.
     """
     context = spark.sparkContext
-    configured = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not configured:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
