@@ -14,6 +14,7 @@ from loanlens import schema as S
 from loanlens.functions.risk import risk_tier
 from loanlens.operators.impute import impute, uppercase_categoricals
 from loanlens.operators.stats import FillValues, fit_fill_values
+from loanlens.session import spread
 
 # How codes of the given tables stand for loan categories.
 HOME = {"AUTOMOBILE": "rent", "BUILDING": "MORTGAGE", "FURNITURE": "OWN", "HOUSEHOLD": "OTHER"}
@@ -41,7 +42,7 @@ def _lookup(code, values: dict):
 
 def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One application per order, with missing and out-of-range values as the tables give them."""
-    line = table(spark, sf_dir, "lineitem")
+    line = spread(table(spark, sf_dir, "lineitem"), "l_orderkey")
     lines = line.groupBy("l_orderkey").agg(
         F.sum(F.round(F.col("l_tax") * 100).cast("bigint")).alias("tax_cents"),
         F.count(F.lit(1)).alias("line_count"),
@@ -51,7 +52,7 @@ def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select("p_partkey", "p_type")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
     joined = (
-        table(spark, sf_dir, "orders")
+        spread(table(spark, sf_dir, "orders"), "o_orderkey")
         .join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
         .join(customer, F.col("o_custkey") == F.col("c_custkey"), "left")
         .join(part, F.col("first_line.l_partkey") == F.col("p_partkey"), "left")

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loanlens import schema as S
+from loanlens.session import broadcast_if_small
 
 
 def _finding(feature: str, value: Column, s: dict) -> Column:
@@ -43,8 +44,5 @@ def drift_notes(findings: Column) -> Column:
 
 
 def join_stats(values: DataFrame, stats: DataFrame) -> DataFrame:
-    """Tall ``(feature, value)`` rows with their feature's statistics.
-
-    ``stats`` holds one row per column, so it is broadcast.
-    """
-    return values.join(F.broadcast(stats), "feature", "left")
+    """Tall ``(feature, value)`` rows with their feature's statistics (normally one row per column)."""
+    return values.join(broadcast_if_small(stats), "feature", "left")

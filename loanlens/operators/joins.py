@@ -14,8 +14,8 @@ def join_application_prediction(predictions: DataFrame, applications: DataFrame)
 
 
 def unscored_applications(applications: DataFrame, predictions: DataFrame) -> DataFrame:
-    """Applications without a prediction."""
-    scored = predictions.select(F.col("application_id").alias("id"))
+    """Applications without a prediction; ids are made unique first, so a hot one is not shuffled whole."""
+    scored = predictions.select(F.col("application_id").alias("id")).distinct()
     return applications.join(scored, "id", "left_anti")
 
 

@@ -4,6 +4,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_session(app: str = "loanlens", master: str | None = None, **conf) -> SparkSession:
@@ -53,3 +54,18 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Redistribute a table scan that has fewer splits than there are cores, else leave it alone.
+
+    Meant for a few large files ahead of heavy per-row work; with many splits it adds no shuffle.
+    With ``keys`` the rows are placed so that grouping by them needs no second shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
+def broadcast_if_small(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows; else Spark picks the join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
