@@ -8,6 +8,7 @@ from loanlens.catalog.io import _feedback_rows
 from loanlens.catalog.registry import query, r6
 from loanlens.operators import encode as E
 from loanlens.operators import split as P
+from loanlens.operators.impute import uppercase_categoricals
 from loanlens.plans import imports
 from loanlens.plans import train as T
 
@@ -21,8 +22,6 @@ _ALL_FLAGS = ", ".join(_flag_sql(c, v) for c, vs in S.VOCABULARY.items() for v i
 
 @query(f"SELECT application_id, {_ALL_FLAGS} FROM upper_apps", "upper_apps")
 def one_hot_fixed(spark, sf_dir):
-    from loanlens.operators.impute import uppercase_categoricals
-
     rows = E.one_hot_fixed(uppercase_categoricals(W.applications(spark, sf_dir)))
     return rows.select("application_id", *E.fixed_flags())
 
@@ -66,7 +65,8 @@ def one_hot_drop_first(spark, sf_dir):
     return E.one_hot_dynamic(rows, E.categories(rows, ["p_type"]), drop_first=True)
 
 
-@query()
+@query("SELECT p_partkey, " + ", ".join(
+    f"CAST(p_type = '{v}' AS INTEGER) AS \"p_type_{v}\"" for v in _PART_TYPES if v != "PROMO") + " FROM part")
 def one_hot_ignore_unknown(spark, sf_dir):
     """Categories fitted without one value: its rows get all zeros."""
     rows = W.table(spark, sf_dir, "part").select("p_partkey", "p_type")

@@ -11,6 +11,7 @@ from loanlens.catalog import views as W
 from loanlens.catalog.io import _feedback_rows
 from loanlens.catalog.registry import query, r6
 from loanlens.functions import text as X
+from loanlens.functions.risk import risk_tier
 from loanlens.operators import encode as E
 from loanlens.operators import explain
 from loanlens.operators.split import in_test
@@ -124,7 +125,11 @@ def score_batch_strict(spark, sf_dir):
     return rows.select("application_id", "status", "error", "risk_level", "probability_default_percent")
 
 
-@query()
+@query("""SELECT TRUE AS tiers_match, count(*) AS n FROM apps WHERE person_age BETWEEN 18 AND 100
+            AND person_income IS NOT NULL AND person_emp_length IS NOT NULL AND loan_amnt IS NOT NULL
+            AND loan_int_rate IS NOT NULL AND loan_percent_income <= 1 AND cb_person_cred_hist_length IS NOT NULL
+            AND home_ownership IS NOT NULL AND loan_intent IS NOT NULL AND loan_grade IS NOT NULL
+            AND default_on_file IS NOT NULL""", "apps")
 def compare_paths(spark, sf_dir):
     """Complete records by both modes: rows by whether the tiers agree."""
     both = P.compare_paths(W.applications(spark, sf_dir), scorer(spark, sf_dir))
@@ -142,6 +147,36 @@ def shap_values(spark, sf_dir):
     return explained.select("application_id", r6(total).alias("explained_log_odds"), r6(odds).alias("model_log_odds"))
 
 
+@query("SELECT application_id, TRUE AS adds_up, 22 AS features FROM apps WHERE loan_status IS NOT NULL", "apps")
+def shap_additivity(spark, sf_dir):
+    """Contributions plus base equal the model's log-odds in every row."""
+    rows = shap_values(spark, sf_dir)
+    close = F.abs(F.col("explained_log_odds") - F.col("model_log_odds")) < 1e-5
+    return rows.select("application_id", close.alias("adds_up"), F.lit(len(FEATURES)).alias("features"))
+
+
+@query("""SELECT application_id, TRUE AS in_range, TRUE AS label_follows, TRUE AS tier_follows FROM apps
+          WHERE loan_status IS NOT NULL""", "apps")
+def score_invariants(spark, sf_dir):
+    """Scores lie in [0, 1]; label and tier follow from them."""
+    p = F.col("probability_default")
+    tier = F.when(p > 0.6, S.HIGH_RISK).when(p > 0.4, S.BORDERLINE_RISK).otherwise(S.LOW_RISK)
+    return score(spark, sf_dir).select(
+        "application_id", p.between(0, 1).alias("in_range"),
+        ((p > 0.5).cast("int") == F.col("binary_prediction")).alias("label_follows"),
+        (risk_tier(p) == tier).alias("tier_follows"),
+    )
+
+
+@query("""SELECT a.application_id, CASE WHEN a.person_age < 18 OR a.person_age > 100 OR COALESCE(a.loan_percent_income > 1, FALSE)
+            THEN 'error' ELSE 'success' END AS status, CAST(len(i.imputation_log) AS INTEGER) AS imputed_fields
+          FROM apps a JOIN imputed i ON i.application_id = a.application_id""", "imputed")
+def score_batch_rows(spark, sf_dir):
+    """The model-independent columns of batch scoring."""
+    rows = P.score_batch(W.applications(spark, sf_dir), scorer(spark, sf_dir))
+    return rows.select("application_id", "status", F.size("imputation_log").alias("imputed_fields"))
+
+
 # A stand-in for contributions that SQL can state: each value's distance from a fixed centre.
 _CENTRES = {"person_age": 60, "person_emp_length": 20, "loan_int_rate": 11, "cb_person_cred_hist_length": 3}
 _CONTRIB_SQL = " UNION ALL ".join(
@@ -201,14 +236,16 @@ def log_predictions(spark, sf_dir):
     return store.read().select("application_id", "model_type", "model_version", "created_at")
 
 
-@query()
+@query("SELECT application_id, TRUE AS same_score FROM apps WHERE loan_status IS NOT NULL", "apps")
 def model_round_trip(spark, sf_dir):
-    """Scores of a saved and re-loaded pipeline."""
+    """Whether a saved and re-loaded pipeline gives every row the same score."""
     fitted = scorer(spark, sf_dir)
     store = tables.ModelStore(spark, scratch_path(spark, "models"))
     store.save(fitted.model, FEATURES, {"accuracy": 0.0})
     model, _, _ = store.load()
-    return P.score(_encoded(spark, sf_dir), model).select("application_id", "probability_default")
+    before = P.score(_encoded(spark, sf_dir), fitted.model).withColumnRenamed("probability_default", "before")
+    again = P.score(before.drop("features", "binary_prediction"), model)
+    return again.select("application_id", (F.col("before") == F.col("probability_default")).alias("same_score"))
 
 
 @query("""SELECT application_id, CASE WHEN person_age > 100 OR person_age < 18 OR COALESCE(loan_percent_income > 1, FALSE)

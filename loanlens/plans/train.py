@@ -8,7 +8,6 @@ from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, MulticlassClassificationEvaluator
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -124,16 +123,12 @@ def forest_pipeline(numeric: list[str], text: list[str], label: str = "label", p
 
 def kfold_cv(df: DataFrame, pipeline: Pipeline, key: str, label: str = "label", folds: int = 5, seed: int = 42):
     """``(accuracy per fold, mean)``; folds come from a hash of the row id."""
-    folded = df.withColumn("_fold", fold(key, folds, seed))
-    scores = []
+    folded = materialize(df.withColumn("_fold", fold(key, folds, seed)), "folds")
     evaluator = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
-    cv = CrossValidator(
-        estimator=pipeline, estimatorParamMaps=ParamGridBuilder().build(), evaluator=evaluator, numFolds=folds,
-        foldCol="_fold", collectSubModels=True,
-    )
-    fitted = cv.fit(folded)
-    for i, models in enumerate(fitted.subModels):
-        scores.append(evaluator.evaluate(models[0].transform(folded.where(F.col("_fold") == i))))
+    scores = []
+    for i in range(folds):
+        model = pipeline.fit(folded.where(F.col("_fold") != i))
+        scores.append(evaluator.evaluate(model.transform(folded.where(F.col("_fold") == i))))
     return scores, sum(scores) / len(scores)
 
 
@@ -143,7 +138,7 @@ def evaluate_model(scored: DataFrame, label: str = "label") -> dict:
     pairs = pairs.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         metrics = V.binary_metrics(pairs, label).first().asDict()
-        auc = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC").evaluate(pairs)
+        auc = BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC", numBins=0).evaluate(pairs)
     finally:
         pairs.unpersist()
     return {**metrics, "auc_roc": auc}
@@ -168,7 +163,7 @@ def train_flexible(df: DataFrame, key: str, columns: dict | None = None, test_si
     data = E.map_target(df, found["target"], "label__", on_unmapped).drop("label___unmapped")
     numbers, texts = found["numeric"], found["categorical"]
     data = data.select(key, "label__", *[F.col(f"`{c}`") for c in (*numbers, *texts)])
-    data = I.to_numeric(data, numbers)
+    data = materialize(I.to_numeric(data, numbers), "training")
     data = I.impute_train_median(data, numbers, I.train_medians(data, numbers))
     data = I.fill_residual_zero(I.impute_train_unknown(data, texts, upper=False), numbers)
     encoded = E.one_hot_dynamic(data, E.categories(data, texts))
@@ -193,7 +188,8 @@ def retrain(predictions: DataFrame, original: DataFrame | None = None, min_sampl
     ready = V.retraining_readiness(predictions, min_samples, min_feedback_ratio).first().asDict()
     if original is None and not ready["is_ready"]:
         return {"status": "insufficient_data", "readiness": ready, "training_samples": 0, "test_samples": 0}
-    rows = extract_training_data(predictions, original)
+    # read several times below (medians, categories, split), parsed once
+    rows = materialize(extract_training_data(predictions, original), "training")
     if rows.isEmpty():
         raise ValueError("no training data: neither feedback rows nor an original dataset")
     rows = rows.withColumn("label__", F.col("loan_status"))

@@ -35,12 +35,6 @@ def request_counts(log: DataFrame, size: str = "1 hour", slide: str | None = Non
     return counted.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "provider", "n")
 
 
-def session_counts(log: DataFrame, gap: str = "30 minutes") -> DataFrame:
-    """Requests per provider and burst of activity."""
-    counted = log.groupBy(F.session_window("ts", gap).alias("w"), "provider").agg(F.count(F.lit(1)).alias("n"))
-    return counted.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "provider", "n")
-
-
 def stream_request_counts(log: DataFrame, target: str, checkpoint: str, size: str = "1 hour",
                           slide: str | None = None, late: str = "10 minutes"):
     """Append each window's counts once the watermark has passed it; ends when the input is done.
