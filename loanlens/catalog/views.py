@@ -14,7 +14,7 @@ from loanlens import schema as S
 from loanlens.functions.risk import risk_tier
 from loanlens.operators.impute import impute, uppercase_categoricals
 from loanlens.operators.stats import FillValues, fit_fill_values
-from loanlens.session import spread
+from loanlens.session import materialize, spread
 
 # How codes of the given tables stand for loan categories.
 HOME = {"AUTOMOBILE": "rent", "BUILDING": "MORTGAGE", "FURNITURE": "OWN", "HOUSEHOLD": "OTHER"}
@@ -150,7 +150,7 @@ def file_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @lru_cache(maxsize=32)
 def _fill(app_id: str, spark: SparkSession, sf_dir: str) -> FillValues:
-    return fit_fill_values(uppercase_categoricals(applications(spark, sf_dir)))
+    return fit_fill_values(materialize(uppercase_categoricals(applications(spark, sf_dir)).select(*S.CANONICAL)))
 
 
 def fill_values(spark: SparkSession, sf_dir: str) -> FillValues:

@@ -24,13 +24,22 @@ MAX_TABLE_FEATURES = 10
 
 @dataclass
 class Leaf:
-    features: list[int]
-    bounds: list[tuple[float, float]]  # a row goes on if low < x <= high
+    features: list[int]  # path features; position = bit in the pattern
     fractions: list[float]  # share of training rows that go on, per path feature
     value: float
     table: np.ndarray | None  # [position on path, pattern] -> contribution; None if the path is long
 
 
+@dataclass
+class Split:
+    feature: int
+    cut: float
+    bit: int
+    first_use: bool  # the feature has not occurred further up
+    left: "Split | Leaf"
+    right: "Split | Leaf"
+
+
 def path_contributions(holds: np.ndarray, fractions: list[float], value: float) -> np.ndarray:
     """Contribution of each path feature; ``holds[j]`` tells where feature j sends the row on.
 
@@ -60,33 +69,25 @@ def _pattern_table(fractions: list[float], value: float) -> np.ndarray | None:
     return path_contributions(np.array([(patterns >> j) & 1 for j in range(d)]).reshape(d, -1), fractions, value)
 
 
-def _tree_leaves(nodes: dict, weight: float) -> list[Leaf]:
-    leaves = []
-
-    def walk(i: int, path: dict):
+def _tree(nodes: dict, weight: float) -> Split | Leaf:
+    def build(i: int, path: dict) -> Split | Leaf:
         node = nodes[i]
         if node["leftChild"] < 0:
-            used = sorted(path)
-            fractions = [path[f][2] for f in used]
-            value = weight * node["prediction"]
-            leaves.append(Leaf(
-                used, [path[f][:2] for f in used], fractions, value, _pattern_table(fractions, value)
-            ))
-            return
+            fractions, value = list(path.values()), weight * node["prediction"]
+            return Leaf(list(path), fractions, value, _pattern_table(fractions, value))
         feature, cut = node["split"]["featureIndex"], node["split"]["leftCategoriesOrThreshold"][0]
-        low, high, share = path.get(feature, (-np.inf, np.inf, 1.0))
-        for child, lo, hi in (
-            (node["leftChild"], low, min(high, cut)), (node["rightChild"], max(low, cut), high),
-        ):
-            part = nodes[child]["rawCount"] / node["rawCount"]
-            walk(child, {**path, feature: (lo, hi, share * part)})
+        below = [
+            build(child, {**path, feature: path.get(feature, 1.0) * nodes[child]["rawCount"] / node["rawCount"]})
+            for child in (node["leftChild"], node["rightChild"])
+        ]
+        bit = list(path).index(feature) if feature in path else len(path)
+        return Split(feature, cut, bit, feature not in path, *below)
 
-    walk(0, {})
-    return leaves
+    return build(0, {})
 
 
-def model_leaves(spark, model) -> list[Leaf]:
-    """Leaves of a fitted boosted-tree classifier, read from its saved node table."""
+def model_trees(spark, model) -> list[Split | Leaf]:
+    """Trees of a fitted boosted classifier, read from its saved node table."""
     path = scratch_path(spark, "model")
     model.save(path)
     trees: dict[int, dict] = {}
@@ -94,26 +95,45 @@ def model_leaves(spark, model) -> list[Leaf]:
         trees.setdefault(r["treeID"], {})[r["nodeData"]["id"]] = r["nodeData"].asDict(recursive=True)
     weights = list(model.treeWeights)
     # the model's margin is half the log-odds
-    return [leaf for t in sorted(trees) for leaf in _tree_leaves(trees[t], 2.0 * weights[t])]
+    return [_tree(trees[t], 2.0 * weights[t]) for t in sorted(trees)]
+
+
+def expected_value(trees: list[Split | Leaf]) -> float:
+    def total(node: Split | Leaf) -> float:
+        if isinstance(node, Leaf):
+            return node.value * float(np.prod(node.fractions))
+        return total(node.left) + total(node.right)
 
+    return sum(total(t) for t in trees)
 
-def contributions(leaves: list[Leaf], x: np.ndarray) -> np.ndarray:
-    """Log-odds contributions, rows by features."""
+
+def contributions(trees: list[Split | Leaf], x: np.ndarray) -> np.ndarray:
+    """Log-odds contributions, rows by features.
+
+    Each tree is walked once for the whole batch; a row's pattern gets one bit per path feature.
+    """
     out = np.zeros((x.shape[1], x.shape[0]))
     columns = np.ascontiguousarray(x.T)
-    for leaf in leaves:
-        holds = [
-            (columns[f] > low) & (columns[f] <= high) for f, (low, high) in zip(leaf.features, leaf.bounds)
-        ]
+
+    def add(leaf: Leaf, pattern: np.ndarray) -> None:
         if leaf.table is None:
-            parts = path_contributions(np.array(holds), leaf.fractions, leaf.value)
+            holds = np.array([(pattern >> j) & 1 for j in range(len(leaf.features))])
+            parts = path_contributions(holds, leaf.fractions, leaf.value)
         else:
-            pattern = np.zeros(x.shape[0], dtype=np.int64)
-            for j, h in enumerate(holds):
-                pattern |= h.astype(np.int64) << j
             parts = leaf.table[:, pattern]
         for j, f in enumerate(leaf.features):
             out[f] += parts[j]
+
+    def walk(node: Split | Leaf, pattern: np.ndarray) -> None:
+        if isinstance(node, Leaf):
+            return add(node, pattern)
+        goes_left = columns[node.feature] <= node.cut
+        for child, goes in ((node.left, goes_left), (node.right, ~goes_left)):
+            bit = goes.astype(pattern.dtype) << node.bit
+            walk(child, pattern | bit if node.first_use else pattern & (bit | ~pattern.dtype.type(1 << node.bit)))
+
+    for t in trees:
+        walk(t, np.zeros(x.shape[0], dtype=np.uint32))
     return out.T
 
 
@@ -121,9 +141,9 @@ def shap_values(df: DataFrame, model, features: list[str], vector: str = "featur
                 name: str = "shap_values") -> DataFrame:
     """Add ``shap_values`` (feature -> log-odds contribution) and ``expected_value``."""
     spark = df.sparkSession
-    leaves = model_leaves(spark, model)
-    shared = spark.sparkContext.broadcast(leaves)
-    base = float(sum(leaf.value * np.prod(leaf.fractions) for leaf in leaves))
+    trees = model_trees(spark, model)
+    shared = spark.sparkContext.broadcast(trees)
+    base = float(expected_value(trees))
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def explain(rows: pd.Series) -> pd.Series:

@@ -1,8 +1,9 @@
 """Column statistics: one pass for moments, distributed counting for quantiles and modes."""
 
+import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,44 +45,97 @@ def feature_statistics(df: DataFrame, columns: list[str] | None = None) -> DataF
     return _wide_to_tall(row, columns, list(made))
 
 
+SKETCH = 10_000
+SMALL_COUNT = 1_000_000
+
+
 def quantiles(df: DataFrame, columns: list[str], probabilities: dict[str, float],
               accuracy: int | None = None) -> DataFrame:
-    """``(feature, <name>...)``: linearly interpolated quantiles of each column.
+    """``(feature, <name>...)``: linearly interpolated quantiles of each column; columns without a value are left out.
 
-    Exact by default: equal values are counted first, so hot values shrink before the shuffle, then
-    ranks come from running totals. ``accuracy`` switches to a one-pass approximation.
+    Exact by default: a sketch brackets every quantile, a second pass counts what lies below the
+    brackets, and only the values inside them (about ``4 / SKETCH`` of the rows) are counted one by
+    one. ``accuracy`` returns the sketch's own answer instead.
     """
     if accuracy:
         row = df.agg(*[
-            F.percentile_approx(F.col(f"`{c}`").cast("double"), q, accuracy).alias(f"{c}__{n}")
+            F.percentile_approx(_number(c), q, accuracy).alias(f"{c}__{n}")
             for c in columns for n, q in probabilities.items()
         ])
-        return _wide_to_tall(row, columns, list(probabilities))
-
-    counts = (
-        tall(df, columns).where(F.col("value").isNotNull() & ~F.isnan("value"))
-        .groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+        return _wide_to_tall(row, columns, list(probabilities)).dropna(subset=list(probabilities))
+
+    margin = 2 / SKETCH
+    ends = sorted({min(max(q + d, 0.0), 1.0) for q in probabilities.values() for d in (-margin, margin)})
+    sketch = df.agg(*[
+        part for i, c in enumerate(columns) for part in (
+            F.count(_number(c)).alias(f"n{i}"), F.percentile_approx(_number(c), ends, SKETCH).alias(f"s{i}")
+        )
+    ]).first()
+    slots = []  # (column, name, probability, rows, low, high)
+    for i, c in enumerate(columns):
+        if sketch[f"n{i}"]:
+            at = dict(zip(ends, sketch[f"s{i}"]))
+            for name, q in probabilities.items():
+                low = at[q - margin] if q > margin else float("-inf")
+                high = at[q + margin] if q + margin < 1 else float("inf")
+                slots.append((c, name, q, sketch[f"n{i}"], low, high))
+    found = _ranked_values(df, slots)
+    wrong = {c for (c, *_), v in zip(slots, found) if v is None}
+    if wrong:  # a bracket missed its rank: open the brackets of that column
+        slots = [(c, n, q, k, *((float("-inf"), float("inf")) if c in wrong else (lo, hi))) for c, n, q, k, lo, hi in slots]
+        found = _ranked_values(df, slots)
+    values: dict[str, dict] = {}
+    for (c, name, *_), v in zip(slots, found):
+        values.setdefault(c, {})[name] = v
+    fields = ", ".join(f"`{n}` double" for n in probabilities)
+    return df.sparkSession.createDataFrame(
+        [(c, *[v[n] for n in probabilities]) for c, v in values.items()], f"feature string, {fields}"
     )
-    ranked = running_totals(counts, ["feature"], ["value"], {"upto": "n"})
-    sizes = ranked.groupBy("feature").agg(F.max("upto").alias("total"))  # one row per column
-    ranked = ranked.join(F.broadcast(sizes), "feature")
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("upto") - F.col("n") <= rank) & (rank < F.col("upto")), F.col("value")))
 
-    ends = []
-    for name, q in probabilities.items():
-        position = (F.col("total") - 1) * F.lit(q)
-        ends += [at(F.floor(position)).alias(f"{name}__lo"), at(F.ceil(position)).alias(f"{name}__hi")]
-    found = ranked.groupBy("feature").agg(F.max("total").alias("total"), *ends)
 
-    def value(name: str, q: float) -> Column:
-        position = (F.col("total") - 1) * F.lit(q)
-        part = position - F.floor(position)
-        lo, hi = F.col(f"{name}__lo"), F.col(f"{name}__hi")
-        return (lo + (hi - lo) * part).alias(name)
+def _number(column: str) -> Column:
+    """The column as a double, NaN as null."""
+    value = F.col(f"`{column}`").cast("double")
+    return F.when(~F.isnan(value), value)
+
+
+def _ranked_values(df: DataFrame, slots: list[tuple]) -> list[float | None]:
+    """The quantile of each slot, or None where its bracket does not hold the rank."""
+    if not slots:
+        return []
+    counts = df.agg(*[
+        part for i, (c, _, _, _, low, high) in enumerate(slots) for part in (
+            F.count_if(_number(c) < low).alias(f"b{i}"), F.count_if(_number(c).between(low, high)).alias(f"i{i}")
+        )
+    ]).first()
+    inside = F.array_compact(F.array(*[
+        F.when(_number(c).between(low, high), F.struct(F.lit(i).alias("slot"), _number(c).alias("value")))
+        for i, (c, _, _, _, low, high) in enumerate(slots)
+    ]))
+    tallied = df.select(F.inline(inside)).groupBy("slot", "value").agg(F.count(F.lit(1)).alias("n"))
+    if sum(counts[f"i{i}"] for i in range(len(slots))) <= SMALL_COUNT:
+        ranked = tallied.withColumn("upto", F.sum("n").over(Window.partitionBy("slot").orderBy("value")))
+    else:
+        ranked = running_totals(tallied, ["slot"], ["value"], {"upto": "n"})
+
+    # wanted ranks within each bracket, counted from 0
+    ranks = []
+    for i, (_, _, q, rows, _, _) in enumerate(slots):
+        position = (rows - 1) * q
+        ranks.append((math.floor(position) - counts[f"b{i}"], math.ceil(position) - counts[f"b{i}"], position % 1))
+    wanted = F.array(*[F.array(F.lit(lo).cast("bigint"), F.lit(hi).cast("bigint")) for lo, hi, _ in ranks])
+
+    def value_at(end: int) -> Column:
+        rank = F.get(F.get(wanted, F.col("slot")), F.lit(end))
+        return F.max(F.when((F.col("upto") - F.col("n") <= rank) & (rank < F.col("upto")), F.col("value")))
 
-    return found.select("feature", *[value(n, q) for n, q in probabilities.items()])
+    rows = ranked.groupBy("slot").agg(value_at(0).alias("lo"), value_at(1).alias("hi")).collect()
+    ends = {r.slot: (r.lo, r.hi) for r in rows}
+    out = []
+    for i, (_, _, part) in enumerate(ranks):
+        lo, hi = ends.get(i, (None, None))
+        out.append(None if lo is None or hi is None else lo + (hi - lo) * part)
+    return out
 
 
 def historical_statistics(df: DataFrame, columns: list[str] | None = None,
@@ -90,7 +144,8 @@ def historical_statistics(df: DataFrame, columns: list[str] | None = None,
     columns = columns or numeric_columns(df)
     moments = feature_statistics(df, columns)
     cuts = quantiles(df, columns, {"q25": 0.25, "median": 0.5, "q75": 0.75}, accuracy)
-    return moments.join(F.broadcast(cuts), "feature", "left")  # both sides: one row per column
+    columns_only = ["feature", "mean", "median", "std", "min", "max", "q25", "q75"]
+    return moments.join(F.broadcast(cuts), "feature", "left").select(*columns_only)  # one row per column
 
 
 def categorical_modes(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

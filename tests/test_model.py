@@ -78,9 +78,9 @@ def test_contributions_add_up(frame, fitted):
 
 def test_long_paths_give_the_same_result_without_tables(monkeypatch, spark, frame, fitted):
     data = np.array([[r.a, r.b, r.c] for r in frame.limit(50).collect()])
-    with_tables = X.contributions(X.model_leaves(spark, fitted.stages[-1]), data)
+    with_tables = X.contributions(X.model_trees(spark, fitted.stages[-1]), data)
     monkeypatch.setattr(X, "MAX_TABLE_FEATURES", 1)
-    assert np.allclose(with_tables, X.contributions(X.model_leaves(spark, fitted.stages[-1]), data))
+    assert np.allclose(with_tables, X.contributions(X.model_trees(spark, fitted.stages[-1]), data))
 
 
 def test_scores_are_probabilities_and_auc_agrees(frame, fitted):

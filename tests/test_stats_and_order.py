@@ -180,3 +180,17 @@ def test_unmapped_targets(spark):
 def test_too_many_categories_fail_loudly(spark):
     with pytest.raises(ValueError, match="categories"):
         E.categories(spark.range(50).select(F.col("id").cast("string").alias("c")), ["c"], limit=20)
+
+
+def test_quantiles_of_many_rows_use_narrow_brackets(spark, monkeypatch):
+    rows = spark.range(50000).select(((F.col("id") * 7919) % 50000 / 3).alias("x"), (F.col("id") % 3).cast("double").alias("y"))
+    want = {c: np.quantile([r[c] for r in rows.collect()], [0.1, 0.5]) for c in ("x", "y")}
+    for small in (A.SMALL_COUNT, 0):  # by a plain window, and by distributed totals
+        monkeypatch.setattr(A, "SMALL_COUNT", small)
+        got = {r.feature: [r.a, r.b] for r in A.quantiles(rows, ["x", "y"], {"a": 0.1, "b": 0.5}).collect()}
+        assert got == {c: pytest.approx(list(v), abs=1e-9) for c, v in want.items()}
+
+
+def test_a_bracket_that_misses_is_reported(spark):
+    rows = spark.range(100).select(F.col("id").cast("double").alias("x"))
+    assert A._ranked_values(rows, [("x", "m", 0.5, 100, 0.0, 10.0), ("x", "m", 0.5, 100, 40.0, 60.0)]) == [None, 49.5]
