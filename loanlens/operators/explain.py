@@ -120,7 +120,7 @@ def contributions(trees: list[Split | Leaf], x: np.ndarray) -> np.ndarray:
             holds = np.array([(pattern >> j) & 1 for j in range(len(leaf.features))])
             parts = path_contributions(holds, leaf.fractions, leaf.value)
         else:
-            parts = leaf.table[:, pattern]
+            parts = leaf.table.take(pattern, axis=1, mode="clip")
         for j, f in enumerate(leaf.features):
             out[f] += parts[j]
 
@@ -133,7 +133,7 @@ def contributions(trees: list[Split | Leaf], x: np.ndarray) -> np.ndarray:
             walk(child, pattern | bit if node.first_use else pattern & (bit | ~pattern.dtype.type(1 << node.bit)))
 
     for t in trees:
-        walk(t, np.zeros(x.shape[0], dtype=np.uint32))
+        walk(t, np.zeros(x.shape[0], dtype=np.intp))
     return out.T
 
 
