@@ -56,8 +56,8 @@ def roc_curve(df: DataFrame, label: str = "label", score: str = "probability", b
         value = F.floor(value * bins) / bins
     counts = score_counts(df.withColumn("_s", value), label, "_s").withColumn("_down", -F.col("score"))
     ranked = running_totals(counts, [], ["_down"], {"tp": "pos", "fp": "neg"})
-    p = counts.agg(F.sum("pos")).scalar()
-    n = counts.agg(F.sum("neg")).scalar()
+    p = ranked.agg(F.max("tp")).scalar()  # the last running total, read from the written blocks
+    n = ranked.agg(F.max("fp")).scalar()
     tpr, fpr = F.try_divide(F.col("tp").cast("double"), p), F.try_divide(F.col("fp").cast("double"), n)
     step = F.try_divide(F.col("neg").cast("double"), n)
     height = F.try_divide(F.col("tp") - F.col("pos") / 2.0, p)

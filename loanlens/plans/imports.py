@@ -8,7 +8,6 @@ from loanlens.functions.names import check_name
 from loanlens.functions.risk import outcome_from_columns
 from loanlens.operators import mapping as M
 from loanlens.operators.ordered import with_row_index
-from loanlens.session import materialize
 
 
 def coerce_outcome(df: DataFrame, name: str = "actual_outcome") -> DataFrame:
@@ -72,7 +71,6 @@ def import_into(df: DataFrame, applications, predictions, order: list[str], mapp
         new_apps = new_apps.withColumns({
             c: F.col(c).try_cast(old.schema[c].dataType) for c in new_apps.columns if c in old.columns
         })
-    new_apps = materialize(new_apps, "import")
     applications.append(new_apps)
     predictions.append(new_preds)
     return new_apps.count()

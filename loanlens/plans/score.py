@@ -54,14 +54,9 @@ def score_batch(applications: DataFrame, scorer: Scorer, key: str = "application
     else:
         rows = rows.withColumn("imputation_log", F.array().cast("array<string>"))
     rows = drift_check(rows, stats)
-    kept = [key, *S.CANONICAL, "status", "error", "imputation_log", "validation_warnings", "drift"]
-    bare = rows.select(*kept, F.struct(*S.CANONICAL).alias("inputs"))
-    renamed = bare.select(
-        *[F.col(c).alias(f"_in_{c}") for c in kept if c in S.CANONICAL],
-        *[c for c in kept if c not in S.CANONICAL], "inputs", *S.CANONICAL,
-    )
-    carried = [c for c in renamed.columns if c not in S.CANONICAL]
-    encoded = encode_for_model(renamed, scorer.features, carried)
+    carried = [key, "status", "error", "imputation_log", "validation_warnings", "drift", "inputs"]
+    rows = rows.withColumn("inputs", F.struct(*S.CANONICAL))
+    encoded = encode_for_model(rows, scorer.features, carried)
     scored = score(encoded, scorer.model)
     if explain:
         scored = X.shap_values(scored, scorer.model.stages[-1], scorer.features)

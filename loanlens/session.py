@@ -57,13 +57,14 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Redistribute a table scan that has fewer splits than there are cores, else leave it alone.
+    """Redistribute a table scan that has fewer splits than cores (or shuffle partitions), else leave it alone.
 
     Meant for a few large files ahead of heavy per-row work; with many splits it adds no shuffle.
     With ``keys`` the rows are placed so that grouping by them needs no second shuffle.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+    spark = df.sparkSession
+    tasks = min(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df if df.rdd.getNumPartitions() >= tasks else df.repartition(tasks, *keys)
 
 
 def broadcast_if_small(df: DataFrame, rows: int = 10_000) -> DataFrame:
