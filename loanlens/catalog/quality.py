@@ -10,6 +10,7 @@ from loanlens.operators import impute as I
 from loanlens.operators import stats as A
 from loanlens.operators import validate as V
 from loanlens.operators.stats import FillValues
+from loanlens.session import materialize
 
 _ROUNDED = ", ".join(f"round({c}, 6) AS {c}" for c in S.NUMERIC)
 _CATEGORIES = ", ".join(S.CATEGORICAL)
@@ -140,7 +141,8 @@ def _stats_rows(df, parts):
 @query(_stats_sql(list(_STATS)), "apps")
 def historical_stats(spark, sf_dir):
     """Exact quantiles from distributed counting, moments from one pass."""
-    return _stats_rows(A.historical_statistics(W.applications(spark, sf_dir), S.NUMERIC), list(_STATS))
+    rows = materialize(W.applications(spark, sf_dir).select(*S.NUMERIC))  # stored, as it is read several times
+    return _stats_rows(A.historical_statistics(rows, S.NUMERIC), list(_STATS))
 
 
 @query(_stats_sql(["min", "max", "mean", "std"]), "apps")

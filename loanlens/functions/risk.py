@@ -19,11 +19,11 @@ def probability_percent(p: Column) -> Column:
 
 
 def decision_label(prediction: Column) -> Column:
-    return F.when(prediction == 1, "Rejected").when(prediction.isNotNull(), "Approved")
+    return F.when(prediction == 1, S.REJECTED).when(prediction.isNotNull(), S.APPROVED)
 
 
 def outcome_label(outcome: Column) -> Column:
-    return F.when(outcome == 1, "Default").otherwise("No Default")
+    return F.when(outcome == 1, S.DEFAULTED).otherwise(S.NOT_DEFAULTED)
 
 
 def percent(part: Column, whole: Column) -> Column:

@@ -3,6 +3,8 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loanlens import schema as S
+
 
 def clean_response(text: Column) -> Column:
     """Drop sequence markers, shorten runs of blank lines, trim."""
@@ -16,17 +18,17 @@ def operational_notes(imputation_log: Column, warnings: Column, drift: Column) -
         F.when(
             F.size(imputation_log) > 0,
             F.concat(
-                F.lit("Imputed "), F.size(imputation_log).cast("string"), F.lit(" fields: "),
+                F.lit(S.NOTES_IMPUTED[0]), F.size(imputation_log).cast("string"), F.lit(S.NOTES_IMPUTED[1]),
                 F.array_join(F.slice(imputation_log, 1, 5), ", "),
             ),
         ),
-        F.when(F.size(warnings) > 0, F.concat(F.lit("Validation warnings: "), F.array_join(warnings, "; "))),
+        F.when(F.size(warnings) > 0, F.concat(F.lit(S.NOTES_WARNINGS), F.array_join(warnings, "; "))),
         F.when(
             F.size(drift) > 0,
-            F.concat(F.lit("Data drift detected: "), F.array_join(F.slice(drift, 1, 3), "; ")),
+            F.concat(F.lit(S.NOTES_DRIFT), F.array_join(F.slice(drift, 1, 3), "; ")),
         ),
     ]
-    return F.concat_ws(" | ", *parts)
+    return F.concat_ws(S.NOTES_BAR, *parts)
 
 
 def explanation_prompt(tier: Column, contributions: Column, applicant: Column) -> Column:

@@ -33,12 +33,9 @@ def drift_check(df: DataFrame, stats: dict | None = None, name: str = "drift") -
 def drift_notes(findings: Column) -> Column:
     """The findings as text."""
     def text(d: Column) -> Column:
+        outside = F.when(d["kind"] == "range", S.DRIFT_OUTSIDE["range"]).otherwise(S.DRIFT_OUTSIDE["sigma"])
         span = F.concat(F.round(d["lower"], 2).cast("string"), F.lit(", "), F.round(d["upper"], 2).cast("string"))
-        kind = F.when(d["kind"] == "range", "training min/max").otherwise("3-sigma range")
-        return F.concat(
-            d["feature"], F.lit(": value "), d["value"].cast("string"), F.lit(" outside "), kind,
-            F.lit(" ["), span, F.lit("]"),
-        )
+        return F.concat(d["feature"], F.lit(S.DRIFT_VALUE), d["value"].cast("string"), outside, span, F.lit("]"))
 
     return F.transform(findings, text)
 

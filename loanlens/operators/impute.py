@@ -33,16 +33,16 @@ def derive_loan_percent_income(df: DataFrame) -> DataFrame:
 
 def _numeric_fill(column: str, fill: FillValues) -> tuple[float, str]:
     if column in fill.medians:
-        return fill.medians[column], "historical median"
+        return fill.medians[column], S.NOTE_MEDIAN
     if column in fill.means:
-        return fill.means[column], "training mean"
-    return S.NUMERIC_DEFAULTS[column], "safe default"
+        return fill.means[column], S.NOTE_MEAN
+    return S.NUMERIC_DEFAULTS[column], S.NOTE_DEFAULT
 
 
 def _categorical_fill(column: str, fill: FillValues) -> tuple[str, str]:
     if column in fill.modes:
-        return fill.modes[column], "historical mode"
-    return S.CATEGORICAL_DEFAULTS[column], "safe default"
+        return fill.modes[column], S.NOTE_MODE
+    return S.CATEGORICAL_DEFAULTS[column], S.NOTE_DEFAULT
 
 
 def impute(df: DataFrame, fill: FillValues, log: str | None = "imputation_log") -> DataFrame:
@@ -53,7 +53,7 @@ def impute(df: DataFrame, fill: FillValues, log: str | None = "imputation_log")
     df = with_all_columns(df.drop(*S.TARGETS))
     ratio = derived_ratio()
     made, notes = {}, []
-    notes.append(F.when(ratio.isNotNull(), "loan_percent_income: derived from loan_amnt/person_income"))
+    notes.append(F.when(ratio.isNotNull(), S.NOTE_DERIVED))
     for column in S.NUMERIC:
         value, source = _numeric_fill(column, fill)
         known = F.coalesce(column, ratio) if column == "loan_percent_income" else F.col(column)

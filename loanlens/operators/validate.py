@@ -101,22 +101,22 @@ def validation_warnings(df: DataFrame) -> DataFrame:
     ]))
     soft = F.when(
         F.size(missing) > 0,
-        F.concat(F.lit("Critical fields missing (will be imputed): "), F.array_join(missing, ", ")),
+        F.concat(F.lit(S.WARN_MISSING), F.array_join(missing, ", ")),
     )
     age, ratio = F.col("person_age"), F.col("loan_percent_income")
     hard = [
         F.when(
             (age < 18) | (age > 100),
-            F.concat(F.lit("person_age ("), _shown(age), F.lit(") outside valid range [18, 100]")),
+            F.concat(F.lit(S.WARN_AGE[0]), _shown(age), F.lit(S.WARN_AGE[1])),
         ),
         F.when(
-            ratio > 1, F.concat(F.lit("loan_percent_income ("), _shown(ratio), F.lit(") > 1 (should be 0-1)"))
+            ratio > 1, F.concat(F.lit(S.WARN_RATIO[0]), _shown(ratio), F.lit(S.WARN_RATIO[1]))
         ),
     ] + [
-        F.when(F.col(c) < 0, F.concat(F.lit(f"{c} is negative: "), _shown(F.col(c))))
+        F.when(F.col(c) < 0, F.concat(F.lit(c + S.WARN_NEGATIVE), _shown(F.col(c))))
         for c in ("person_income", "person_emp_length", "loan_amnt", "loan_int_rate", "cb_person_cred_hist_length")
     ]
-    nothing = F.array(F.lit("No input data provided - all values will be imputed"))
+    nothing = F.array(F.lit(S.WARN_EMPTY))
     broken = F.coalesce(*hard).isNotNull()
     return df.withColumns({
         "validation_warnings": F.when(empty, nothing).otherwise(F.array_compact(F.array(soft, *hard))),

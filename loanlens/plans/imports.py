@@ -36,10 +36,10 @@ def import_history(df: DataFrame, order: list[str], mapping: dict | None = None,
     packed = M.pack_features(coerce_outcome(stored), features, keep_nulls=True)
     stamp = F.lit(now).cast("timestamp_ntz") if now is not None else F.current_timestamp().cast("timestamp_ntz")
     predictions = packed.select(
-        F.col("id").alias("application_id"), "input_features", F.lit("Historical").alias("risk_level"),
-        F.lit(0.0).alias("probability_default"),
+        F.col("id").alias("application_id"), "input_features", F.lit(S.HISTORY_LEVEL).alias("risk_level"),
+        F.lit(S.HISTORY_SCORE).alias("probability_default"),
         F.coalesce("actual_outcome", F.lit(0)).alias("binary_prediction"),
-        F.lit("historical_import").alias("model_type"), "actual_outcome",
+        F.lit(S.HISTORY_TYPE).alias("model_type"), "actual_outcome",
         F.when(F.col("actual_outcome").isNotNull(), stamp).alias("feedback_date"),
     )
     return M.create_dynamic_table(stored), predictions
@@ -51,9 +51,9 @@ def import_history_minimal(df: DataFrame) -> DataFrame:
     features = [c for c in S.CANONICAL if c in renamed.columns]
     outcome = F.col("loan_status").try_cast("double").cast("int")
     return M.pack_features(renamed, features).select(
-        "input_features", F.lit("Unknown").alias("risk_level"), F.lit(0.5).alias("probability_default"),
+        "input_features", F.lit(S.MINIMAL_LEVEL).alias("risk_level"), F.lit(S.MINIMAL_SCORE).alias("probability_default"),
         F.coalesce(outcome, F.lit(0)).alias("binary_prediction"),
-        F.lit("imported_data").alias("model_type"), outcome.alias("actual_outcome"),
+        F.lit(S.MINIMAL_TYPE).alias("model_type"), outcome.alias("actual_outcome"),
     )
 
 

@@ -141,6 +141,36 @@ LOW_RISK = "Low Risk 🟢"
 HIGH_THRESHOLD = 0.6
 BORDERLINE_THRESHOLD = 0.4
 
+# texts of imputation notes
+NOTE_DERIVED = "loan_percent_income: derived from loan_amnt/person_income"
+NOTE_MEDIAN = "historical median"
+NOTE_MEAN = "training mean"
+NOTE_MODE = "historical mode"
+NOTE_DEFAULT = "safe default"
+
+# texts of validation warnings; the second of a pair follows the value
+WARN_EMPTY = "No input data provided - all values will be imputed"
+WARN_MISSING = "Critical fields missing (will be imputed): "
+WARN_AGE = ("person_age (", ") outside valid range [18, 100]")
+WARN_RATIO = ("loan_percent_income (", ") > 1 (should be 0-1)")
+WARN_NEGATIVE = " is negative: "
+
+# texts of drift findings
+DRIFT_VALUE = ": value "
+DRIFT_OUTSIDE = {"range": " outside training min/max [", "sigma": " outside 3-sigma range ["}
+
+# labels of decisions and outcomes, and the marks of imported rows
+REJECTED, APPROVED = "Rejected", "Approved"
+DEFAULTED, NOT_DEFAULTED = "Default", "No Default"
+HISTORY_LEVEL, HISTORY_TYPE, HISTORY_SCORE = "Historical", "historical_import", 0.0
+MINIMAL_LEVEL, MINIMAL_TYPE, MINIMAL_SCORE = "Unknown", "imported_data", 0.5
+
+# headings of the operational notes
+NOTES_IMPUTED = ("Imputed ", " fields: ")
+NOTES_WARNINGS = "Validation warnings: "
+NOTES_DRIFT = "Data drift detected: "
+NOTES_BAR = " | "
+
 # end of fixed values -------------------------------------------------------
 
 CATEGORICAL = list(VOCABULARY)
