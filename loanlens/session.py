@@ -1,11 +1,15 @@
 """Session set-up and the shared work folder."""
 
+import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Work folder of a single-process session that sets none.
+LOCAL_WORK = os.path.join(tempfile.gettempdir(), "loanlens-work")
+
 
 def get_session(app: str = "loanlens", master: str | None = None, **conf) -> SparkSession:
     """A session with the settings the operators rely on; the cluster's own settings win."""
@@ -27,14 +31,15 @@ def get_session(app: str = "loanlens", master: str | None = None, **conf) -> Spa
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach: ``spark.checkpoint.dir``.
 
-    Only a local-mode session without that setting gets a temporary folder of its own.
+    Where it is unset, a single-process session (``local`` or ``local[...]``) uses ``LOCAL_WORK``; a
+    cluster, where a local folder would be wrong, is refused.
     """
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not configured:
-        if not context.master.startswith("local"):
+        if context.master != "local" and not context.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        configured = tempfile.mkdtemp(prefix="loanlens-")
+        configured = LOCAL_WORK
     if not context.getCheckpointDir():
         context.setCheckpointDir(configured)
     return configured.rstrip("/")
