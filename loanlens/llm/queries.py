@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanlens.llm import langid, simhash
+from loanlens.llm import langid, secret_scan, simhash
 from loanlens.llm.common import crc_mod, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,3 +34,40 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.fit(docs.where(~held_out))
     found = langid.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
     return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+def _secret_sql() -> str:
+    """The spans by DuckDB: matches of each rule and the text between them give the positions."""
+    parts = []
+    for place, rule in enumerate(secret_scan.RULES):
+        p = rule.pattern.replace("'", "''")
+        parts.append(f"""
+            SELECT rid, {place} AS place, '{rule.kind}' AS kind, unnest(regexp_extract_all(body, '{p}')) AS whole,
+                   unnest(regexp_extract_all(body, '{p}', {rule.group})) AS counted, unnest(list_slice(string_split_regex(body, '{p}'), 1, -2)) AS gap,
+                   {rule.least} AS least, generate_subscripts(regexp_extract_all(body, '{p}'), 1) AS n
+            FROM rows WHERE regexp_matches(body, '{p}')""")
+    return f"""
+        WITH rows AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS body FROM documents),
+        found AS ({" UNION ALL ".join(parts)}),
+        placed AS (SELECT rid, place, kind, counted, least, length(whole) AS size,
+                   sum(length(gap) + length(whole)) OVER (PARTITION BY rid, place ORDER BY n)::BIGINT AS stop FROM found),
+        spans AS (SELECT rid, place, stop - size AS start, kind || ':' || (stop - size) || ':' || stop AS span FROM placed WHERE length(counted) >= least),
+        lists AS (SELECT rid, count(*) FILTER (place = 0) AS a, count(*) FILTER (place = 1) AS b, count(*) FILTER (place = 2) AS c,
+                  string_agg(span, ',' ORDER BY start, place) AS spans, string_agg(span, ',' ORDER BY start, place) FILTER (place < 3) AS base FROM spans GROUP BY rid)
+        SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex,
+               sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+        FROM rows LEFT JOIN lists USING (rid)"""
+
+
+@query(_secret_sql())
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def count(place: int):
+        return F.size(F.filter("secrets", lambda s: s["place"] == place)).cast("long")
+
+    base = F.filter("secrets", lambda s: s["place"] < len(secret_scan.BASE_RULES))
+    return found.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(secret_scan.joined(base), 256).alias("base_sha256"), secret_scan.joined(F.col("secrets")).alias("spans"),
+    )
