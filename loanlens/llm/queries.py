@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanlens.llm import langid, secret_scan, simhash
+from loanlens.llm import langid, mixing, secret_scan, simhash
 from loanlens.llm.common import crc_mod, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,45 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
         F.sha2(secret_scan.joined(base), 256).alias("base_sha256"), secret_scan.joined(F.col("secrets")).alias("spans"),
     )
+
+
+#: Shares, the bisected exponent and the dealt rows, by the same rules in SQL.
+_MIX_SQL = f"""
+    WITH RECURSIVE sizes AS (
+        SELECT doc_id, coalesce(source, '') AS source, greatest(len(regexp_extract_all(coalesce(text, ''), '{mixing.WORD}')), 1)::BIGINT AS n_tokens FROM documents),
+    totals AS (SELECT source, sum(n_tokens)::BIGINT AS total, count(*) AS docs FROM sizes GROUP BY source),
+    whole AS (SELECT sum(total)::BIGINT AS budget, count(*) AS n FROM totals),
+    shares AS (SELECT source, total, total / budget AS share, budget, n FROM totals, whole),
+    entropies AS (
+        SELECT 0 AS step, 0.0::DOUBLE AS low, 1.0::DOUBLE AS high
+        UNION ALL
+        SELECT step + 1,
+               CASE WHEN enough THEN (low + high) / 2 ELSE low END, CASE WHEN enough THEN high ELSE (low + high) / 2 END
+        FROM (SELECT step, low, high, (SELECT n < 2 OR -sum(p / z * ln(p / z)) / ln(n) >= {mixing.TARGET_ENTROPY}
+              FROM (SELECT pow(share, (low + high) / 2) AS p, n, sum(pow(share, (low + high) / 2)) OVER () AS z FROM shares) GROUP BY n) AS enough
+              FROM entropies WHERE step < {mixing.BISECTIONS})),
+    repeats AS (
+        SELECT 0 AS step, 0.0::DOUBLE AS low, 1.0::DOUBLE AS high
+        UNION ALL
+        SELECT step + 1, CASE WHEN few THEN low ELSE (low + high) / 2 END, CASE WHEN few THEN (low + high) / 2 ELSE high END
+        FROM (SELECT step, low, high, (SELECT max(budget * p / z / total) <= {mixing.MAX_REPEATS}
+              FROM (SELECT budget, total, pow(share, (low + high) / 2) AS p, sum(pow(share, (low + high) / 2)) OVER () AS z FROM shares)) AS few
+              FROM repeats WHERE step < {mixing.BISECTIONS})),
+    exponent AS (SELECT greatest(
+        CASE WHEN (SELECT bool_or(n < 2) OR -sum(share * ln(share)) / ln(max(n)) >= {mixing.TARGET_ENTROPY} FROM shares) THEN 1.0
+             ELSE (SELECT high FROM entropies WHERE step = {mixing.BISECTIONS}) END,
+        CASE WHEN (SELECT max(budget / n / total) <= {mixing.MAX_REPEATS} FROM shares) THEN 0.0
+             ELSE (SELECT high FROM repeats WHERE step = {mixing.BISECTIONS}) END) AS x),
+    parts AS (SELECT source, weight, total, floor(budget * weight)::BIGINT AS part, greatest(1, ceil(docs / {mixing.BLOCK_DOCS}))::BIGINT AS blocks
+              FROM (SELECT s.source, s.total, s.budget, t.docs, round(pow(share, x) / sum(pow(share, x)) OVER (), 9) AS weight
+                    FROM shares s JOIN totals t USING (source), exponent)),
+    passes AS (SELECT s.*, p.* EXCLUDE (source), unnest(range(((part - 1) // total) + 1))::INT AS epoch FROM sizes s JOIN parts p USING (source) WHERE part > 0),
+    hashed AS (SELECT *, ('0x' || substr(md5('{mixing.SEED}:' || epoch || ':' || coalesce(doc_id::VARCHAR, '')), 1, 8))::UBIGINT::BIGINT AS hash FROM passes),
+    placed AS (SELECT *, epoch * total + coalesce(sum(n_tokens) OVER (PARTITION BY source, epoch
+                      ORDER BY hash % blocks, hash, coalesce(doc_id::VARCHAR, ''), n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM hashed)
+    SELECT doc_id, source, n_tokens, epoch, hash % blocks AS block, start::BIGINT AS start, weight FROM placed WHERE start < part"""
+
+
+@query(_MIX_SQL)
+def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read_table(spark, sf_dir, "documents"))
