@@ -4,7 +4,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words of a text: runs of anything but ASCII white space.
@@ -90,16 +90,15 @@ def runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def hash_sample(rows: DataFrame, group: str, key: str, per_group: int) -> DataFrame:
-    """About ``per_group`` rows of each non-null ``group``: those with the smallest hashes of ``key``.
+    """About ``per_group`` rows of each non-null ``group``: those whose hash of ``key`` lies below a bound.
 
-    Only ``group`` and ``key`` are ranked; wide columns are read once, by a filter. Rows with equal keys share
-    their hash and come or stay together, so a final limit of twice the bound guards against repeated keys.
+    The bound follows from the group's count, so only counts are shuffled. Rows with equal keys come or stay
+    together; a final limit of twice the number guards against repeated keys.
     """
-    hashed = rows.withColumn("_h", F.xxhash64(F.col(key).cast("string"), F.lit("sample")))
-    by_hash = Window.partitionBy(group).orderBy("_h")
-    ranked = hashed.where(F.col(group).isNotNull()).select(group, "_h").withColumn("_n", F.row_number().over(by_hash)).where(F.col("_n") <= per_group)
-    limits = ranked.groupBy(group).agg(F.max("_h").alias("_last")).collect()  # one row per group
+    counts = rows.where(F.col(group).isNotNull()).groupBy(group).count().collect()  # one row per group
+    place = F.xxhash64(F.col(key).cast("string"), F.lit("sample"))
     keep = F.lit(False)
-    for r in limits:
-        keep = keep | ((F.col(group) == F.lit(r[group])) & (F.col("_h") <= F.lit(r["_last"])))
-    return hashed.where(keep).drop("_h").limit(2 * per_group * max(1, len(limits)))
+    for r in counts:
+        bound = (1 << 63) - 1 if r["count"] <= per_group else int((per_group / r["count"] - 0.5) * 2.0**64)
+        keep = keep | ((F.col(group) == F.lit(r[group])) & (place <= F.lit(bound)))
+    return rows.where(keep).limit(2 * per_group * max(1, len(counts)))

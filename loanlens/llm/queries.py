@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanlens.llm import langid, mixing, secret_scan, simhash, token_store, tokens
+from loanlens.llm import langid, mixing, packing, secret_scan, simhash, token_store, tokens
 from loanlens.llm.common import crc_mod, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +120,9 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_store.write(read_table(spark, sf_dir, "documents"), tokens.public_path("word_bpe_49k.json"), end_id=2)
     found = token_store.read(spark, files)
     return found.select(F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query()
+def op9_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(read_table(spark, sf_dir, "documents"), tokens.public_path("byte_bpe_50k.json"), end_id=1)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
