@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanlens.llm import embedding_dedup, langid, mixing, packing, secret_scan, simhash, token_store, tokens
+from loanlens.llm import chat_links, embedding_dedup, langid, mixing, packing, secret_scan, simhash, token_store, tokens, toxicity
 from loanlens.llm.common import crc_mod, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,3 +131,47 @@ def op9_pack_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = read_table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 5) == 0
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels").where(~held_out))
+    found = toxicity.score(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+#: Every user turn calls the tool ``reply``; the assistant turn after it is the result; a call needs the one two turns before.
+_REPLY = {"reply": {"prompt": ("string", True), "turn": ("number", True)}}
+
+
+@query("""
+    WITH RECURSIVE calls AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'),
+    results AS (SELECT conv_id, turn - 1 AS turn, min(text) AS content, count(*) AS n FROM conversations WHERE role = 'assistant' GROUP BY ALL),
+    levels AS (
+        SELECT DISTINCT conv_id, turn, 0 AS level FROM calls c WHERE NOT EXISTS (SELECT 1 FROM calls p WHERE p.conv_id = c.conv_id AND p.turn = c.turn - 2)
+        UNION ALL SELECT DISTINCT c.conv_id, c.turn, level + 1 FROM levels l JOIN calls c ON c.conv_id = l.conv_id AND c.turn = l.turn + 2),
+    both_sides AS (
+        SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.turn, r.turn) AS turn, c.conv_id IS NOT NULL AS is_call,
+               r.conv_id IS NOT NULL AS is_result, c.text, r.content, r.n
+        FROM calls c FULL JOIN results r ON c.conv_id = r.conv_id AND c.turn = r.turn)
+    SELECT b.conv_id || ':' || b.turn AS call_id, CASE WHEN is_call THEN 'reply' END AS tool, l.level::INT AS level,
+           CASE WHEN is_call AND is_result THEN 'linked' WHEN is_call THEN 'no result' ELSE 'no call' END AS status,
+           coalesce(n, 0)::BIGINT AS n_results, CASE WHEN is_call AND text IS NULL THEN 'missing prompt' ELSE '' END AS problems,
+           '{"arguments":' || CASE WHEN NOT is_call THEN 'null' WHEN text IS NULL THEN '{"turn":' || b.turn || '}'
+               ELSE '{"prompt":' || to_json(text)::VARCHAR || ',"turn":' || b.turn || '}' END
+           || ',"id":"' || b.conv_id || ':' || b.turn || '","result":' || coalesce(to_json(content)::VARCHAR, 'null')
+           || ',"tool":' || CASE WHEN is_call THEN '"reply"' ELSE 'null' END || '}' AS json
+    FROM both_sides b LEFT JOIN levels l ON is_call AND l.conv_id = b.conv_id AND l.turn = b.turn""")
+def op4_chat_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read_table(spark, sf_dir, "conversations")
+
+    def name(turn):
+        return F.concat(F.col("conv_id").cast("string"), F.lit(":"), turn.cast("string"))
+
+    calls = turns.where("role = 'user'").select(
+        name(F.col("turn")).alias("call_id"), F.lit("reply").alias("tool"), F.to_json(F.struct("turn", F.col("text").alias("prompt"))).alias("arguments"),
+        F.array(name(F.col("turn") - 2)).alias("depends_on"),
+    )
+    results = turns.where("role = 'assistant'").select(name(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
+    return chat_links.link(calls, results, _REPLY).withColumn("problems", F.array_join("problems", ","))
