@@ -89,16 +89,18 @@ def runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths - starts, lengths)
 
 
-def hash_sample(rows: DataFrame, group: str, key: str, per_group: int) -> DataFrame:
-    """About ``per_group`` rows of each non-null ``group``: those whose hash of ``key`` lies below a bound.
+def hash_sample(rows: DataFrame, group: str, key: str, per_group: int | dict) -> DataFrame:
+    """About ``per_group`` rows (one number, or one per group) of each non-null ``group``: those with small hashes of ``key``.
 
     The bound follows from the group's count, so only counts are shuffled. Rows with equal keys come or stay
     together; a final limit of twice the number guards against repeated keys.
     """
     counts = rows.where(F.col(group).isNotNull()).groupBy(group).count().collect()  # one row per group
     place = F.xxhash64(F.col(key).cast("string"), F.lit("sample"))
-    keep = F.lit(False)
+    keep, most = F.lit(False), 0
     for r in counts:
-        bound = (1 << 63) - 1 if r["count"] <= per_group else int((per_group / r["count"] - 0.5) * 2.0**64)
+        wanted = per_group if isinstance(per_group, int) else per_group.get(r[group], 0)
+        most += wanted
+        bound = (1 << 63) - 1 if r["count"] <= wanted else int((wanted / r["count"] - 0.5) * 2.0**64)
         keep = keep | ((F.col(group) == F.lit(r[group])) & (place <= F.lit(bound)))
-    return rows.where(keep).limit(2 * per_group * max(1, len(counts)))
+    return rows.where(keep).limit(max(1, 2 * most))

@@ -18,13 +18,15 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from loanlens.llm.common import hash_sample, slices
 
-#: Labelled documents per class that a model is fitted on (whole texts).
-TRAIN_PER_CLASS = 1500
+#: Labelled documents of labels 0 and 1 that a model is fitted on (whole texts).
+TRAIN = {0: 4000, 1: 1500}
 BUCKETS, DIMENSIONS, SIZES = 1 << 17, 8, (3, 4, 5)
-ROUNDS, RATE = 60, 0.3
+ROUNDS = 60
 #: An n-gram met in fewer (word, document) pairs of the sample has the number 0.
-LEAST_MET = 20
-SOFTMAX_RATE, DAMPING = 0.1, 1e-5
+LEAST_MET = 5
+#: Rates of vectors and softmax. The damping (over the rarer label's documents) keeps the steps of rare n-grams, whose
+#: gradients are small, small as well.
+RATE, SOFTMAX_RATE, DAMPING = 1.0, 0.1, 0.015
 #: Words whose numbers a task keeps; then it starts over.
 CACHE = 500_000
 _BASE = np.uint64(0x100000001B3)
@@ -143,7 +145,7 @@ def fit_texts(texts: list[str | None], labels: list[int], share: float | None =
         for value, slope, (mean, square) in zip((vectors, softmax, bias), (gradient, error @ hidden.T, error.sum(axis=1)), state, strict=True):
             mean += 0.1 * (slope - mean)
             square += 0.01 * (slope * slope - square)
-            rate, damping = (RATE, DAMPING) if value is vectors else (SOFTMAX_RATE, 1e-8)
+            rate, damping = (RATE, DAMPING / np.bincount(y).min()) if value is vectors else (SOFTMAX_RATE, 1e-8)
             value -= rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.99**step)) + damping)
     numbers = np.zeros(BUCKETS, np.float32)
     numbers[used] = (softmax[1] - softmax[0]) @ vectors
@@ -154,17 +156,18 @@ def _starts(sorted_ids: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.diff(sorted_ids, prepend=-1)) if len(sorted_ids) else np.zeros(0, int)
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: int = TRAIN_PER_CLASS) -> ToxicityModel:
-    """Fits on about ``per_class`` labelled documents of either class (hash order of the key).
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", per_class: dict[int, int] | None = None) -> ToxicityModel:
+    """Fits on about as many labelled documents of labels 0 and 1 as ``per_class`` says (default ``TRAIN``), in hash order of the key.
 
-    Labels other than 0 and 1 are left out. The sampled keys (at most four times ``per_class``) are broadcast, so texts
-    are read by a filter and not shuffled.
+    Other labels are left out. The sampled keys (at most twice those numbers) are broadcast, so texts are read
+    by a filter and not shuffled.
     """
+    per_class = per_class or TRAIN
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"))
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     picked = hash_sample(known, "label", "key", per_class)
     found = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(picked), "key")
-    rows = sorted(found.limit(4 * per_class).collect(), key=lambda r: (r["key"], r["label"], r["text"] or ""))
+    rows = sorted(found.limit(2 * sum(per_class.values())).collect(), key=lambda r: (r["key"], r["label"], r["text"] or ""))
     share = counts.get(1, 0) / max(1, sum(counts.values()))
     return fit_texts([r["text"] for r in rows], [r["label"] for r in rows], share)
 
