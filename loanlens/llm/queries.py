@@ -5,8 +5,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanlens.llm import chat_links, embedding_dedup, langid, mixing, packing, secret_scan, simhash, token_store, tokens, toxicity
-from loanlens.llm.common import crc_mod, read_table
+from loanlens.llm import chat_links, divergence, embedding_dedup, langid, mixing, packing, secret_scan, simhash, token_store, tokens, toxicity
+from loanlens.llm.common import WORD, crc_mod, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -175,3 +175,53 @@ def op4_chat_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     results = turns.where("role = 'assistant'").select(name(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
     return chat_links.link(calls, results, _REPLY).withColumn("problems", F.array_join("problems", ","))
+
+
+def _divergence_sql() -> str:
+    d = divergence
+    w = WORD
+    jsd = "CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END"
+    classes = ("[A-Z]", "[0-9]", "[\\x20\\x09-\\x0D]", "m", "[#*$%&|<>]", "[^\\x00-\\x7F]", "r")
+    count = {c: f"len(regexp_extract_all(body, '{c}'))" for c in classes if len(c) > 1}
+    mark = "len(regexp_extract_all(body, '[!-/:-@\\[-`{-~]'))"
+    return f"""
+    WITH rows AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS body FROM documents),
+    split AS (SELECT *, regexp_extract_all(body, '{w}') AS words, list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '{w}')) AS lines FROM rows),
+    each AS (SELECT rid, lang, unnest(words) AS word, unnest(range(len(words))) AS pos FROM split),
+    windows AS (SELECT rid, pos, word || ' ' || lead(word) OVER (PARTITION BY rid ORDER BY pos) || ' ' || lead(word, 2) OVER (PARTITION BY rid ORDER BY pos) AS w FROM each),
+    twice AS (SELECT rid, pos FROM (SELECT rid, pos, count(*) OVER (PARTITION BY rid, w) AS n FROM windows WHERE w IS NOT NULL) WHERE n > 1),
+    covered AS (SELECT rid, count(DISTINCT pos + k) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS k) GROUP BY rid),
+    base AS (SELECT rid, doc_id, lang, len(words)::BIGINT AS n_words, coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
+             {count["[#*$%&|<>]"]}::BIGINT AS n_symbols, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+             coalesce(n, 0)::BIGINT AS n_repeat_words, [{count["[A-Z]"]}, {count["[0-9]"]}, length(body) - coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT,
+             {mark} - {count["[#*$%&|<>]"]}, {count["[#*$%&|<>]"]}, {count[classes[5]]},
+             coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT - {count["[A-Z]"]} - {count["[0-9]"]} - {mark} - {count[classes[5]]}] AS classes
+             FROM split LEFT JOIN covered USING (rid)),
+    cells AS (SELECT rid, lang, unnest(classes) AS n, unnest(range({len(d.CLASSES)})) AS cell FROM base WHERE n_words > 0),
+    every_cell AS (SELECT lang, unnest(classes) AS n, unnest(range({len(d.CLASSES)})) AS cell FROM base),
+    ref_cells AS (SELECT lang, cell, sum(n) / sum(sum(n)) OVER (PARTITION BY lang) AS q FROM every_cell GROUP BY lang, cell),
+    js_c AS (SELECT rid, round(sqrt(greatest(sum({jsd}) / 2, 0)), 9) AS js FROM
+             (SELECT c.rid, c.n / sum(c.n) OVER (PARTITION BY c.rid) AS p, q FROM cells c JOIN ref_cells USING (lang, cell)) GROUP BY rid),
+    tops AS (SELECT lang, word, n FROM (SELECT lang, lower(word) AS word, count(*) AS n, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, lower(word)) AS r
+             FROM each GROUP BY lang, lower(word)) WHERE r <= {d.COMMON_WORDS}),
+    totals AS (SELECT lang, sum(n_words) AS n FROM base GROUP BY lang),
+    ref_words AS (SELECT t.lang, t.word, t.n / s.n AS q FROM tops t JOIN totals s USING (lang)
+                  UNION ALL SELECT s.lang, NULL, 1 - coalesce(sum(t.n), 0) / any_value(s.n) FROM totals s LEFT JOIN tops t USING (lang) GROUP BY s.lang),
+    own AS (SELECT rid, lower(word) AS word, count(*) AS n FROM each GROUP BY rid, lower(word)),
+    shares AS (SELECT b.rid, r.word, r.q, coalesce(o.n, 0) / b.n_words AS p FROM base b JOIN ref_words r USING (lang)
+               LEFT JOIN own o ON o.rid = b.rid AND o.word = r.word WHERE b.n_words > 0),
+    filled AS (SELECT rid, q, CASE WHEN word IS NULL THEN 1 - sum(p) OVER (PARTITION BY rid) ELSE p END AS p FROM shares),
+    js_w AS (SELECT rid, round(sqrt(greatest(sum({jsd}) / 2, 0)), 9) AS js FROM filled GROUP BY rid),
+    judged AS (SELECT b.*, c.js AS js_classes, w.js AS js_common, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed
+               FROM base b LEFT JOIN js_c c USING (rid) LEFT JOIN js_w w USING (rid))
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+           NOT base_failed AND NOT coalesce((n_words >= {d.LEAST_WORDS_CLASSES} AND js_classes > {d.MOST_CLASSES})
+               OR (n_words >= {d.LEAST_WORDS_COMMON} AND js_common > {d.MOST_COMMON}), false) AS kept,
+           round(js_classes, 5) AS js_classes, round(js_common, 5) AS js_common
+    FROM judged"""
+
+
+@query(_divergence_sql())
+def op5_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = divergence.judge(read_table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.round(c, 5) for c in ("js_classes", "js_common")})
