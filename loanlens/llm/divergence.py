@@ -14,7 +14,7 @@ from loanlens.session import materialize
 #: Common words of a language's reference, and words a text must have for a verdict on classes and on words.
 COMMON_WORDS, LEAST_WORDS_CLASSES, LEAST_WORDS_COMMON = 32, 50, 100
 #: Largest distances that are kept.
-MOST_CLASSES, MOST_COMMON = 0.35, 0.75
+MOST_CLASSES, MOST_COMMON = 0.32, 0.75
 #: Words that a language's sketch keeps track of; common words are far more frequent than what it can miss.
 TRACKED = 8192
 #: The character classes of a histogram, and the characters of the class symbol.

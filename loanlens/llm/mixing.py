@@ -69,26 +69,26 @@ def token_count(text: Column) -> Column:
 
 
 def mix(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source",
-    budget: int | None = None, entropy: float = TARGET_ENTROPY, repeats: float = MAX_REPEATS,
+    docs: DataFrame, key: str = "doc_id", text: str | None = "text", source: str = "source",
+    budget: int | None = None, entropy: float = TARGET_ENTROPY, repeats: float = MAX_REPEATS, tokens: str | None = None,
 ) -> DataFrame:
     """One row per document and pass in which it is dealt.
 
-    Columns: ``key``, ``source`` (null becomes the source ``''``), ``n_tokens``, ``epoch``, ``block``, ``start``
-    (tokens of the source dealt before it, over all passes) and ``weight``. A document is dealt if its start lies
+    Columns: ``key``, ``source`` (null becomes the source ``''``), ``n_tokens`` (words of the text, or the column ``tokens``),
+    ``epoch``, ``block``, ``start`` (tokens of the source dealt before it, over all passes), ``weight`` and ``part``
+    (tokens the source shall fill). A document is dealt if its start lies
     below the source's part of the budget (default: all tokens), so a part is met to within one document.
     Blocks are hashes of the key; rows with equal keys keep their count. Order within a pass: block, then
     hash. Sources are collected, one total each; documents are not. An empty table gives no rows.
     """
-    rows = materialize(
-        docs.select(F.col(key).alias("key"), F.coalesce(source, F.lit("")).alias("source"), token_count(F.col(text)).alias("n_tokens")), "sizes"
-    )
+    size = token_count(F.col(text)) if tokens is None else F.col(tokens).cast("long")
+    rows = materialize(docs.select(F.col(key).alias("key"), F.coalesce(source, F.lit("")).alias("source"), size.alias("n_tokens")), "sizes")
     found = rows.groupBy("source").agg(F.sum("n_tokens").alias("total"), F.count("*").alias("docs")).orderBy("source").collect()
     totals = [r["total"] for r in found]
     if not totals:
         return rows.select(
             F.col("key").alias(key), "source", "n_tokens", F.lit(0).alias("epoch"), F.lit(0).cast("long").alias("block"),
-            F.lit(0).cast("long").alias("start"), F.lit(0.0).alias("weight"),
+            F.lit(0).cast("long").alias("start"), F.lit(0.0).alias("weight"), F.lit(0).cast("long").alias("part"),
         ).limit(0)
     budget = sum(totals) if budget is None else budget
     weights = tempered(totals, temperature(totals, budget, entropy, repeats))
@@ -117,5 +117,5 @@ def mix(
         .withColumn("start", F.col("epoch") * F.col("total") + F.col("block_start") + F.col("inner"))
     )
     return placed.where("start < part").select(
-        F.col("key").alias(key), "source", "n_tokens", "epoch", "block", "start", "weight"
+        F.col("key").alias(key), "source", "n_tokens", "epoch", "block", "start", "weight", "part"
     )

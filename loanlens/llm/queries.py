@@ -112,7 +112,7 @@ _MIX_SQL = f"""
 
 @query(_MIX_SQL)
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(read_table(spark, sf_dir, "documents"))
+    return mixing.mix(read_table(spark, sf_dir, "documents")).drop("part")
 
 
 @query()

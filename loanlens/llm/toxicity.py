@@ -43,23 +43,26 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     marked = [f"<{w}>" for w in words]
     codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     length = np.array([len(m) for m in marked])
-    owner = np.repeat(np.arange(len(words)), length)
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), length)
     start = np.cumsum(length) - length
     rank = np.arange(len(codes)) - start[owner]
     powers = np.cumprod(np.full(int(length.max(initial=1)) + 1, _BASE, np.uint64))
     whole = np.add.reduceat((codes + np.uint64(1)) * powers[rank], start) if len(words) else np.zeros(0, np.uint64)
-    hashes, owners = [whole * np.uint64(0x9E3779B97F4A7C15)], [np.arange(len(words))]
+    buckets, owners = [_bucket(whole * np.uint64(0x9E3779B97F4A7C15))], [np.arange(len(words), dtype=np.int32)]
     rolling = np.zeros(len(codes), np.uint64)
     for n in range(1, max(SIZES) + 1):
         rolling = rolling[: len(codes) - n + 1] * _BASE + codes[n - 1 :] if n > 1 else codes.copy()
         if n in SIZES:
             inside = owner[: len(rolling)] == owner[n - 1 :]
-            hashes.append(rolling[inside] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(n))
+            buckets.append(_bucket(rolling[inside] * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(n)))
             owners.append(owner[: len(rolling)][inside])
     owners = np.concatenate(owners)
     order = np.argsort(owners, kind="stable")
-    mixed = np.concatenate(hashes)[order]
-    return ((mixed ^ (mixed >> np.uint64(29))) % np.uint64(BUCKETS)).astype(np.int32), owners[order]
+    return np.concatenate(buckets)[order], owners[order]
+
+
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    return ((hashes ^ (hashes >> np.uint64(29))) % np.uint64(BUCKETS)).astype(np.int32)
 
 
 def _weights(words: list[str]) -> list[tuple[str, float]]:
@@ -115,7 +118,8 @@ def fit_texts(texts: list[str | None], labels: list[int], share: float | None =
     used, bucket_of = np.unique(buckets, return_inverse=True)
     if not len(used):
         return ToxicityModel(np.zeros(BUCKETS, np.float32), float(np.log(share) - np.log(1 - share)))
-    by_word, by_bucket = np.argsort(ids, kind="stable"), np.argsort(bucket_of, kind="stable")
+    bucket_of = bucket_of.astype(np.int32)
+    by_word, by_bucket = np.argsort(ids, kind="stable").astype(np.int32), np.argsort(bucket_of, kind="stable").astype(np.int32)
     word_starts, bucket_starts, feature_starts = _starts(ids[by_word]), _starts(bucket_of[by_bucket]), _starts(owner)
     doc_starts, with_words, with_features = _starts(docs), np.unique(docs), np.unique(owner)
     owner_by_bucket, docs_by_word, n_by_word = owner[by_bucket], docs[by_word], n[by_word]
