@@ -38,22 +38,22 @@ def symbol_count(body: Column) -> Column:
     return out.cast("long")
 
 
-def distance(own: Column, reference: Column) -> Column:
-    """Jensen-Shannon distance of two count arrays of equal length; null if either is empty or sums to 0."""
+def distance(counts: Column, total: Column, shares: Column) -> Column:
+    """Jensen-Shannon distance of counts that sum to ``total`` from reference shares; null if either is null.
 
-    def total(a: Column) -> Column:
-        return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    Both arrays and the total should be columns, so that they are not worked out for every element anew.
+    """
 
     def part(p: Column, m: Column) -> Column:
         return F.when(p > 0, p * F.log2(p / m)).otherwise(0.0)
 
-    def term(x: Column, y: Column) -> Column:
-        p, q = x / total(own), y / total(reference)
+    def term(x: Column, q: Column) -> Column:
+        p = x / total
         m = (p + q) / 2
         return (part(p, m) + part(q, m)) / 2
 
-    found = F.sqrt(F.greatest(F.aggregate(F.zip_with(own, reference, term), F.lit(0.0), lambda s, x: s + x), F.lit(0.0)))
-    return F.when((total(own) > 0) & (total(reference) > 0), F.round(found, 9))
+    found = F.aggregate(F.zip_with(counts, shares, term), F.lit(0.0), lambda s, x: s + x)
+    return F.round(F.sqrt(F.greatest(found, F.lit(0.0))), 9)
 
 
 def _one_of(listed: list[str]):
@@ -101,8 +101,8 @@ def base_counts(docs: DataFrame, candidates: dict[str, list[str]], key: str = "d
         symbol_count(F.col("body")).alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         covered.alias("n_repeat_words"),
-        F.transform(F.array_distinct("wanted"), lambda w: F.struct(
-            w.alias("word"), (F.size("wanted") - F.size(F.array_remove("wanted", w))).cast("long").alias("n"))).alias("common"),
+        F.map_from_entries(F.transform(F.array_distinct("wanted"), lambda w: F.struct(
+            w.alias("word"), (F.size("wanted") - F.size(F.array_remove("wanted", w))).cast("long").alias("n")))).alias("common"),
     )
     length = F.length("body").cast("long")
     by_regex = [F.regexp_count("body", F.lit(p)).cast("long") for p in (r"[A-Z]", r"[0-9]", r"[!-/:-@\[-`{-~]", r"[^\x00-\x7F]")]
@@ -113,21 +113,26 @@ def base_counts(docs: DataFrame, candidates: dict[str, list[str]], key: str = "d
 
 
 def references(counted: DataFrame) -> DataFrame:
-    """Per language: ``ref_classes``, ``listed`` (its common words) and ``ref_common`` (their counts, then all others').
+    """Per language: ``ref_classes`` (shares), ``listed`` (its common words) and ``ref_common`` (their shares, then all others').
 
     Counts are over all documents. Words rank by count, then text.
     """
     sums = [F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(len(CLASSES))]
     classes = counted.groupBy("lang").agg(F.sum("n_words").alias("all_words"), *sums)
-    each = counted.select("lang", F.explode("common").alias("c")).groupBy("lang", F.col("c.word").alias("word")).agg(F.sum("c.n").alias("n"))
+    each = counted.select("lang", F.explode("common").alias("word", "n")).groupBy("lang", "word").agg(F.sum("n").alias("n"))
     rank = Window.partitionBy("lang").orderBy(F.desc("n"), "word")  # candidates only
     top = each.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= COMMON_WORDS)
     found = top.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("rank", "word", "n"))).alias("top"), F.sum("n").alias("listed_words"))
     counts = F.coalesce(F.col("top.n"), F.array().cast("array<bigint>"))
+    total, chars = F.nullif(F.col("all_words"), F.lit(0)), F.lit(0)
+    for i in range(len(CLASSES)):
+        chars = chars + F.col(f"c{i}")
+    chars = F.nullif(chars, F.lit(0))
+    rest = (F.col("all_words") - F.coalesce("listed_words", F.lit(0))) / total
     return classes.join(found, "lang", "left").select(
-        "lang", F.array(*(f"c{i}" for i in range(len(CLASSES)))).alias("ref_classes"),
+        "lang", F.array(*(F.col(f"c{i}") / chars for i in range(len(CLASSES)))).alias("ref_classes"),
         F.coalesce(F.col("top.word"), F.array().cast("array<string>")).alias("listed"),
-        F.concat(counts, F.array(F.col("all_words") - F.coalesce("listed_words", F.lit(0)))).alias("ref_common"),
+        F.concat(F.transform(counts, lambda n: n / total), F.array(rest)).alias("ref_common"),
     )
 
 
@@ -142,12 +147,15 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     candidates = common_candidates(docs, text, lang)
     counted = materialize(base_counts(docs, candidates, key, text, lang), "counts")
     judged = counted.join(F.broadcast(references(counted)), "lang")  # one row per language
-    common = F.map_from_entries("common")
-    own = F.transform("listed", lambda w: F.coalesce(F.try_element_at(common, w), F.lit(0).cast("long")))
-    rest = F.col("n_words") - F.aggregate(own, F.lit(0).cast("long"), lambda s, x: s + x)
-    judged = judged.withColumn("own", F.concat(own, F.array(rest)))
-    judged = judged.withColumn("js_classes", F.when(F.col("n_words") > 0, distance(F.col("classes"), F.col("ref_classes"))))
-    judged = judged.withColumn("js_common", F.when(F.col("n_words") > 0, distance(F.col("own"), F.col("ref_common"))))
+    own = F.transform("listed", lambda w: F.coalesce(F.try_element_at("common", w), F.lit(0).cast("long")))
+    judged = judged.withColumn("own", own).withColumn("rest", F.col("n_words") - F.aggregate("own", F.lit(0).cast("long"), lambda s, x: s + x))
+    chars = F.lit(0)
+    for i in range(len(CLASSES)):
+        chars = chars + F.col("classes")[i]
+    judged = judged.withColumn("own", F.concat("own", F.array("rest"))).withColumn("chars", F.nullif(chars, F.lit(0)))
+    judged = judged.withColumn("total", F.nullif(F.col("n_words"), F.lit(0)))
+    judged = judged.withColumn("js_classes", F.when(F.col("n_words") > 0, distance(F.col("classes"), F.col("chars"), F.col("ref_classes"))))
+    judged = judged.withColumn("js_common", distance(F.col("own"), F.col("total"), F.col("ref_common")))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     far = ((F.col("n_words") >= LEAST_WORDS_CLASSES) & (F.col("js_classes") > MOST_CLASSES)) | (
         (F.col("n_words") >= LEAST_WORDS_COMMON) & (F.col("js_common") > MOST_COMMON))
