@@ -47,7 +47,8 @@ def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sum(F.round(F.col("l_tax") * 100).cast("bigint")).alias("tax_cents"),
         F.count(F.lit(1)).alias("line_count"),
         F.max((F.col("l_returnflag") == "R").cast("int")).alias("returned"),
-        F.min(F.struct("l_linenumber", "l_partkey", "l_suppkey")).alias("first_line"),
+        # one number hash-aggregates; a line number over 2^23 or a part key over 2^40 would fail, not mix
+        F.min(F.col("l_linenumber").cast("long") * (1 << 40) + F.col("l_partkey")).alias("first_line"),
     )
     part = table(spark, sf_dir, "part").select("p_partkey", "p_type")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
@@ -55,7 +56,7 @@ def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
         spread(table(spark, sf_dir, "orders"), "o_orderkey")
         .join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
         .join(customer, F.col("o_custkey") == F.col("c_custkey"), "left")
-        .join(part, F.col("first_line.l_partkey") == F.col("p_partkey"), "left")
+        .join(part, F.col("first_line") % (1 << 40) == F.col("p_partkey"), "left")
     )
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
     base = joined.select(

@@ -42,10 +42,10 @@ def target_from_text(value: Column) -> Column:
 
 
 def outcome_from_columns(*candidates: Column) -> Column:
-    """First non-null candidate as 0/1: whole numbers as they are, yes-words 1, other text 0."""
+    """First non-null candidate as 0/1: numbers cut to whole ones, yes-words 1, other text 0; NaN and numbers too large: null."""
     first = F.coalesce(*[c.cast("string") for c in candidates])
     number = first.try_cast("double")
     return F.when(
         first.isNotNull(),
-        F.coalesce(number.cast("int"), F.lower(first).isin(S.TRUTHY_OUTCOMES).cast("int")),
+        F.when(number.isNotNull(), number.try_cast("int")).otherwise(F.lower(first).isin(S.TRUTHY_OUTCOMES).cast("int")),
     )

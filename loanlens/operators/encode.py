@@ -134,14 +134,19 @@ def detect_columns(df: DataFrame, max_distinct: int = 10, max_ratio: float = 0.0
 
 
 def map_target(df: DataFrame, column: str, name: str = "label", on_unmapped: str = "zero") -> DataFrame:
-    """Binary label from a target column; unknown text counts as 0, is dropped, or fails.
+    """Binary label from a target column; unknown values count as 0, are dropped, or fail.
 
-    ``<name>_unmapped`` marks the rows whose text was unknown.
+    ``<name>_unmapped`` marks the rows whose value was unknown: text without a meaning, or a number other than 0
+    and 1. A missing target is no label: rows with null or NaN there are always left out.
     """
-    if dict(df.dtypes)[column] == "string":
+    kind = dict(df.dtypes)[column]
+    if kind == "string":
         label = target_from_text(F.col(column))
     else:
-        label = F.col(column).cast("int")
+        number = F.col(column).cast("double")
+        df = df.where(~F.isnan(number))
+        label = F.when(number.isin(0.0, 1.0), number.cast("int"))
+    df = df.where(F.col(column).isNotNull())
     out = df.withColumns({f"{name}_unmapped": label.isNull(), name: F.coalesce(label, F.lit(0))})
     if on_unmapped == "drop":
         return out.where(~F.col(f"{name}_unmapped"))

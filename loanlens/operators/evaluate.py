@@ -8,7 +8,9 @@ from loanlens.operators.ordered import running_totals
 
 
 def _pairs(df: DataFrame, label: str, prediction: str) -> DataFrame:
-    return df.select(F.col(label).cast("int").alias("y"), F.col(prediction).cast("int").alias("z"))
+    """Rows that have both; rows without a label or a prediction count nowhere."""
+    pairs = df.select(F.col(label).cast("int").alias("y"), F.col(prediction).cast("int").alias("z"))
+    return pairs.where("y IS NOT NULL AND z IS NOT NULL")
 
 
 def binary_metrics(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -32,8 +34,9 @@ def binary_metrics(df: DataFrame, label: str = "label", prediction: str = "predi
 
 
 def score_counts(df: DataFrame, label: str, score: str) -> DataFrame:
-    """Positives and negatives per distinct score."""
-    return df.groupBy(F.col(score).cast("double").alias("score")).agg(
+    """Positives and negatives per distinct score; rows without a score (null, NaN) rank nowhere and are left out."""
+    value = F.col(score).cast("double")
+    return df.where(value.isNotNull() & ~F.isnan(value)).groupBy(value.alias("score")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
     )
 

@@ -20,16 +20,19 @@ def unscored_applications(applications: DataFrame, predictions: DataFrame) -> Da
 
 
 def apply_updates(table: DataFrame, updates: DataFrame, key: str = "id", order: list[str] = ("updated_at",),
-                  columns: list[str] | None = None) -> DataFrame:
+                  columns: list[str] | None = None, null_sets: bool = False) -> DataFrame:
     """``table`` with the newest update of each key laid over it; unknown keys change nothing.
 
-    ``updates`` may hold any of the table's columns; a null there leaves the old value.
+    ``updates`` may hold any of the table's columns; a null there leaves the old value, or with ``null_sets``
+    becomes the new one.
     """
     columns = columns or [c for c in updates.columns if c in table.columns and c != key]
-    newest = latest_per_key(updates, [key], list(order)).select(key, *[F.col(c).alias(f"_new_{c}") for c in columns])
-    return table.join(newest, key, "left").select(*[
-        F.coalesce(f"_new_{c}", c).alias(c) if c in columns else F.col(c) for c in table.columns
-    ])
+    newest = latest_per_key(updates, [key], list(order)).select(key, *[F.col(c).alias(f"_new_{c}") for c in columns], F.lit(True).alias("_new"))
+
+    def value(c: str):
+        return F.when(F.col("_new"), F.col(f"_new_{c}")).otherwise(F.col(c)) if null_sets else F.coalesce(f"_new_{c}", c)
+
+    return table.join(newest, key, "left").select(*[value(c).alias(c) if c in columns else F.col(c) for c in table.columns])
 
 
 def record_feedback(predictions: DataFrame, feedback: DataFrame) -> DataFrame:

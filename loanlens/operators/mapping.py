@@ -95,8 +95,12 @@ def storage_type(dtype: T.DataType) -> str:
 def evolve_schema(table: DataFrame, incoming: DataFrame) -> DataFrame:
     """``table`` widened by the columns only ``incoming`` has, with the incoming rows appended.
 
-    New columns become double or string; adding a column twice changes nothing.
+    New columns become double or string; adding a column twice changes nothing. A column in which an incoming
+    value does not fit the stored type becomes text in the result, so that no value is lost (one counting pass).
     """
+    shared = [c for c in incoming.columns if c in table.columns]
+    misfits = [c for c, n in count_misfits(incoming, table.schema, shared).items() if n]
+    table = table.withColumns({c: F.col(f"`{c}`").cast("string") for c in misfits})
     fresh = [f for f in incoming.schema if f.name not in table.columns]
     for f in fresh:
         N.check_name(f.name)
@@ -107,6 +111,16 @@ def evolve_schema(table: DataFrame, incoming: DataFrame) -> DataFrame:
     return table.unionByName(typed, allowMissingColumns=True)
 
 
+def count_misfits(incoming: DataFrame, stored: T.StructType, columns: list[str]) -> dict[str, int]:
+    """Non-null values per column that cannot be cast to the stored type."""
+    kinds = {f.name: f.dataType for f in stored}
+    differ = [c for c in columns if incoming.schema[c].dataType != kinds[c]]
+    if not differ:
+        return {}
+    lost = [F.count_if(F.col(f"`{c}`").isNotNull() & F.col(f"`{c}`").try_cast(kinds[c]).isNull()).alias(c) for c in differ]
+    return incoming.agg(*lost).first().asDict()
+
+
 def add_column(df: DataFrame, name: str, dtype: str = "double") -> DataFrame:
     return df if N.check_name(name) in df.columns else df.withColumn(name, F.lit(None).cast(dtype))
 

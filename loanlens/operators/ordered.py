@@ -49,13 +49,19 @@ def with_row_index(
 def with_group_index(
     df: DataFrame, group: list[str], order: list, name: str, blocks: int | None = None
 ) -> DataFrame:
-    """Number the rows of each group from 1 in ``order``; a hot group spans many tasks."""
-    indexed = with_row_index(df, [*group, *order], "_index", 0, blocks)
-    first = indexed.groupBy(*[F.col(g).alias(f"_key_{g}") for g in group]).agg(F.min("_index").alias("_first"))
-    same_group = reduce(and_, [F.col(g).eqNullSafe(F.col(f"_key_{g}")) for g in group])
-    return indexed.join(first, same_group).select(
-        *df.columns, (F.col("_index") - F.col("_first") + 1).alias(name)
+    """Number the rows of each group from 1 in ``order``; a hot group spans many tasks.
+
+    Rows are counted per group and block, and meet the counts of earlier blocks by both keys.
+    """
+    keys = [*group, _BLOCK]
+    cut = _blocks(df, [*group, *order], blocks)
+    before = Window.partitionBy(*group).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = cut.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(_POS).alias("_first"))
+    sizes = sizes.select(
+        *[F.col(k).alias(f"_key_{k}") for k in keys], "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_earlier")
     )
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys])
+    return cut.join(sizes, same).select(*df.columns, (F.col("_earlier") + F.col(_POS) - F.col("_first") + 1).alias(name))
 
 
 def running_totals(
@@ -70,12 +76,14 @@ def running_totals(
     before = Window.partitionBy(*group).orderBy(_BLOCK).rowsBetween(Window.unboundedPreceding, -1)
     offsets = cut.groupBy(*keys).agg(*[F.sum(c).alias(f"_o_{n}") for n, c in totals.items()])
     offsets = offsets.select(
-        *keys, *[F.coalesce(F.sum(f"_o_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in totals]
+        *[F.col(k).alias(f"_key_{k}") for k in keys],
+        *[F.coalesce(F.sum(f"_o_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in totals],
     )
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys])  # a null group is a group
     inside = Window.partitionBy(*keys).orderBy(_POS).rowsBetween(Window.unboundedPreceding, 0)
     return (
         cut.withColumns({n: F.sum(c).over(inside) for n, c in totals.items()})
-        .join(offsets, keys)
+        .join(offsets, same)
         .withColumns({n: F.col(n) + F.col(f"_o_{n}") for n in totals})
-        .drop(_BLOCK, _POS, *[f"_o_{n}" for n in totals])
+        .drop(_BLOCK, _POS, *[f"_key_{k}" for k in keys], *[f"_o_{n}" for n in totals])
     )

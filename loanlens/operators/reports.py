@@ -59,10 +59,9 @@ def metrics_history(metrics: DataFrame, model_type: str | None = None, limit: in
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The newest row of each key; keeps one row per key and partition before the shuffle."""
-    rest = [c for c in df.columns if c not in keys]
-    newest = F.max_by(F.struct(*rest), F.struct(*order)).alias("_row")
-    return df.groupBy(*keys).agg(newest).select(*keys, "_row.*").select(*df.columns)
+    """The newest row of each key; the rank filter keeps one row per key and partition before the shuffle."""
+    newest = Window.partitionBy(*keys).orderBy(*(F.desc_nulls_last(c) for c in order))
+    return df.withColumn("_rank", F.row_number().over(newest)).where("_rank = 1").drop("_rank")
 
 
 # -- aggregate reports ------------------------------------------------------

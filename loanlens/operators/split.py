@@ -23,10 +23,11 @@ def split_stratified(df: DataFrame, key: str, label: str, test_size: float = 0.2
     """The ``ceil(n * test_size)`` rows of lowest hash of each class form the test set.
 
     The exact cut of a class is found by counting hash prefixes and then ranking only the rows of
-    the one prefix that holds it, so no class is ever sorted in one task. Labels are few.
+    the one prefix that holds it, so no class is ever sorted in one task. Labels are few. Rows without a
+    label are never in the test set.
     """
     prefix = F.substring(row_hash(key, seed), 1, 4)
-    counts = df.groupBy(F.col(label).alias("_class"), prefix.alias("_prefix")).agg(F.count(F.lit(1)).alias("n"))
+    counts = df.where(F.col(label).isNotNull()).groupBy(F.col(label).alias("_class"), prefix.alias("_prefix")).agg(F.count(F.lit(1)).alias("n"))
     upto = Window.partitionBy("_class").orderBy("_prefix")  # at most 65,536 prefixes per class
     counted = counts.withColumn("upto", F.sum("n").over(upto))
     totals = counts.groupBy("_class").agg(F.sum("n").alias("total")).collect()
@@ -52,7 +53,7 @@ def split_stratified(df: DataFrame, key: str, label: str, test_size: float = 0.2
     test = F.lit(False)
     for r in bounds:
         test = test | ((F.col(label) == F.lit(r["_class"])) & (row_hash(key, seed) <= r["_hash"]))
-    return df.withColumn("is_test", test)
+    return df.withColumn("is_test", F.coalesce(test, F.lit(False)))
 
 
 def fold(key: str, folds: int = 5, seed: int = 42) -> Column:

@@ -8,6 +8,7 @@ from loanlens.functions.names import check_name
 from loanlens.functions.risk import outcome_from_columns
 from loanlens.operators import mapping as M
 from loanlens.operators.ordered import with_row_index
+from loanlens.session import materialize
 
 
 def coerce_outcome(df: DataFrame, name: str = "actual_outcome") -> DataFrame:
@@ -58,7 +59,11 @@ def import_history_minimal(df: DataFrame) -> DataFrame:
 
 
 def import_into(df: DataFrame, applications, predictions, order: list[str], mapping: dict | None = None) -> int:
-    """Run ``import_history`` against stored tables (schema widened as needed); returns the row count."""
+    """Run ``import_history`` against stored tables (schema widened as needed); returns the row count.
+
+    A cell that does not fit the stored type of its column becomes null there and is kept as ``column=value`` in
+    ``notes``. Both outputs come from one written batch.
+    """
     last = 0
     if applications.exists():
         last = applications.read().agg(F.max("id")).first()[0] or 0
@@ -68,9 +73,11 @@ def import_into(df: DataFrame, applications, predictions, order: list[str], mapp
         missing = [f for f in new_apps.schema if f.name not in old.columns]
         for f in missing:
             check_name(f.name)
-        new_apps = new_apps.withColumns({
-            c: F.col(c).try_cast(old.schema[c].dataType) for c in new_apps.columns if c in old.columns
-        })
+        cast = {c: F.col(c).try_cast(old.schema[c].dataType) for c in new_apps.columns if c in old.columns and c != "notes"}
+        kept = [F.when(F.col(c).isNotNull() & v.isNull(), F.concat(F.lit(f"{c}="), F.col(c).cast("string"))) for c, v in cast.items()]
+        notes = F.concat_ws("; ", "notes", *kept)
+        new_apps = new_apps.withColumns({**cast, "notes": F.when(notes != "", notes)})
+    new_apps = materialize(new_apps, "import")
     applications.append(new_apps)
     predictions.append(new_preds)
     return new_apps.count()

@@ -40,24 +40,44 @@ def union_training_sources(feedback: DataFrame, original: DataFrame | None) -> D
     return feedback if original is None else feedback.unionByName(original, allowMissingColumns=True)
 
 
+def stored_feature_schema(rows: DataFrame, name: str = "input_features") -> T.StructType:
+    """The application's columns and all further keys of the stored JSON texts (one row per key is collected)."""
+    further = sorted(r["feature"] for r in M.feature_keys(rows, name).collect() if r["feature"] not in S.APPLICATION_SCHEMA.names)
+    further = [c for c in further if c not in S.TARGETS]
+    if not further:
+        return S.APPLICATION_SCHEMA
+    texts = M.unpack_features(rows.select(name), T.StructType([T.StructField(c, T.StringType()) for c in further]), name)
+    kinds = {r["column_name"]: r["inferred_type"] for r in M.infer_column_types(texts, further).collect()}
+    found = {"double": T.DoubleType(), "string": T.StringType()}
+    return T.StructType([*S.APPLICATION_SCHEMA.fields, *(T.StructField(c, found[kinds[c]]) for c in further)])
+
+
 def extract_training_data(predictions: DataFrame, original: DataFrame | None = None,
-                          schema: T.StructType = S.APPLICATION_SCHEMA, limit: int | None = None) -> DataFrame:
-    """Feature columns, ``row_key`` and ``loan_status`` of all rows with a known outcome."""
+                          schema: T.StructType | None = None, limit: int | None = None) -> DataFrame:
+    """Feature columns, ``row_key`` and ``loan_status`` of all rows with a known outcome.
+
+    Without a ``schema`` the columns are the application's and every other key that some stored row holds; such a
+    column is double if all its values are numbers, else text. An original row whose label is no number is left out.
+    """
     known = predictions.where(F.col("actual_outcome").isNotNull() & F.col("input_features").isNotNull())
+    if schema is None:
+        schema = stored_feature_schema(known)
     if limit is not None:
         known = known.orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
+    # all keys as text first: a number in quotes is a number
+    texts = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
     feedback = M.unpack_features(
         known.select(
             F.concat(F.lit("p"), F.col("id").cast("string")).alias("row_key"), "input_features",
             F.col("actual_outcome").cast("int").alias("loan_status"),
-        ), schema,
-    )
+        ), texts,
+    ).withColumns({f.name: F.col(f"`{f.name}`").try_cast(f.dataType) for f in schema})
     if original is None:
         return feedback
     status = next((c for c in ("loan_status", "loan_status_num") if c in original.columns), None)
     if status is None:
         return feedback
-    labelled = original.withColumn("loan_status", F.col(status).cast("int")).where(F.col("loan_status").isNotNull())
+    labelled = original.withColumn("loan_status", F.col(status).cast("string").try_cast("double").try_cast("int")).where(F.col("loan_status").isNotNull())
     others = [c for c in S.TARGETS if c != "loan_status"]
     return union_training_sources(feedback, M.rename_original_dataset(labelled).drop(*others))
 

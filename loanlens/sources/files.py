@@ -13,15 +13,17 @@ def read_applications_csv(spark: SparkSession, path: str, schema: T.StructType |
                           required: list[str] = ()) -> DataFrame:
     """Header CSV with a given or inferred schema; a missing required column fails before any scan.
 
-    The schema is taken from the whole input, and files are read in splits.
+    Files are read in splits. The reader matches columns by position, so files whose headers differ from the first
+    one's are refused (Spark compares them as it reads); read them one by one and union them by name.
     """
     header = spark.read.option("header", True).csv(path).columns
     absent = [c for c in required if c not in header]
     if absent:
         raise ValueError(f"missing columns {absent}; found {header}")
-    reader = spark.read.option("header", True)
+    reader = spark.read.option("header", True).option("enforceSchema", False)
     if schema is None:
-        return reader.option("inferSchema", True).csv(path)
+        found = spark.read.option("header", True).option("inferSchema", True).csv(path).schema
+        return reader.schema(found).csv(path)
     # the reader matches by position, so order the stated types by the header
     kinds = {f.name: f.dataType for f in schema}
     ordered = T.StructType([T.StructField(c, kinds.get(c, T.StringType())) for c in header])
@@ -30,8 +32,9 @@ def read_applications_csv(spark: SparkSession, path: str, schema: T.StructType |
 
 
 def read_text_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Header CSV with every cell as text, for cell coercion afterwards."""
-    return spark.read.option("header", True).csv(path)
+    """Header CSV with every cell as text, for cell coercion afterwards; all files must have the same header."""
+    header = spark.read.option("header", True).csv(path).schema
+    return spark.read.option("header", True).option("enforceSchema", False).schema(header).csv(path)
 
 
 def read_applications_json(spark: SparkSession, path: str, schema: T.StructType = S.APPLICATION_SCHEMA,
@@ -41,8 +44,15 @@ def read_applications_json(spark: SparkSession, path: str, schema: T.StructType
 
 
 def read_request_log(spark: SparkSession, path: str) -> DataFrame:
-    """JSON-lines request log; lines that do not parse are skipped."""
-    return spark.read.schema(S.REQUEST_LOG_SCHEMA).option("mode", "DROPMALFORMED").json(path)
+    """JSON-lines request log: one row for each line that is a JSON object.
+
+    Whether a line counts does not depend on the columns read. A value that does not fit its column's type is
+    null; its row stays.
+    """
+    texts = T.StructType([T.StructField(f.name, T.StringType()) for f in S.REQUEST_LOG_SCHEMA])
+    lines = spark.read.text(path).where(F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT<"))
+    parsed = lines.select(F.from_json("value", texts).alias("line"))
+    return parsed.select(*(F.col("line")[f.name].try_cast(f.dataType).alias(f.name) for f in S.REQUEST_LOG_SCHEMA))
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loanlens import schema as S
+from loanlens.operators.mapping import count_misfits
 from loanlens.operators.reports import latest_per_key
 
 _VERSIONS = T.StructType([T.StructField("version", T.LongType()), T.StructField("path", T.StringType())])
@@ -29,6 +30,7 @@ class Table:
 
     Appends add files to the current version. A replacement is written beside it and becomes
     current by one small append to the version list, so readers never see a half-written table.
+    One writer at a time: an append that finds the version moved under it fails.
     """
 
     def __init__(self, spark: SparkSession, root: str, schema: T.StructType | None = None):
@@ -39,7 +41,9 @@ class Table:
             row = self.spark.read.schema(_VERSIONS).parquet(f"{self.root}/_versions_").agg(
                 F.max(F.struct("version", "path")).alias("v")
             ).first()
-        except AnalysisException:
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             return 0, None
         return (row.v.version, row.v.path) if row and row.v else (0, None)
 
@@ -57,11 +61,20 @@ class Table:
         return self.spark.read.option("mergeSchema", True).parquet(path)
 
     def append(self, df: DataFrame) -> None:
-        path = self._current()[1]
+        """Add rows in the stored types. Values that do not fit a stored type end the append before anything is written."""
+        version, path = self._current()
         if path is None:
             self.replace(df)
-        else:
-            df.write.mode("append").parquet(path)
+            return
+        stored = self.read().schema
+        shared = [c for c in df.columns if c in stored.names]
+        lost = {c: n for c, n in count_misfits(df, stored, shared).items() if n}
+        if lost:
+            raise ValueError(f"values that do not fit the stored types: {lost}")
+        typed = df.withColumns({c: F.col(f"`{c}`").cast(stored[c].dataType) for c in shared if df.schema[c].dataType != stored[c].dataType})
+        typed.write.mode("append").parquet(path)
+        if self._current()[0] != version:
+            raise RuntimeError(f"{self.root} was replaced during an append; append again")
 
     def replace(self, df: DataFrame) -> None:
         version = self._current()[0] + 1
