@@ -20,7 +20,7 @@ ODD_NAMES = ["Application.ID", "Person Age", "LOAN-AMNT", "loan.grade"]
 
 @query("""SELECT application_id, person_age, loan_amnt, loan_grade FROM apps""", "apps")
 def normalize_columns(spark, sf_dir):
-    rows = W.applications(spark, sf_dir).select("application_id", "person_age", "loan_amnt", "loan_grade")
+    rows = W.applications(spark, sf_dir, ["application_id", "person_age", "loan_amnt", "loan_grade"])
     return M.normalize_columns(rows.toDF(*ODD_NAMES))
 
 
@@ -167,7 +167,7 @@ def feature_keys(spark, sf_dir):
 @query("SELECT application_id, 1000 + row_number() OVER (ORDER BY application_id) AS id FROM apps", "apps")
 def link_ids(spark, sf_dir):
     """Ids after 1000, in source order."""
-    return P.link_ids(W.applications(spark, sf_dir).select("application_id"), ["application_id"], 1000)
+    return P.link_ids(W.applications(spark, sf_dir, ["application_id"]), ["application_id"], 1000)
 
 
 @query("SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS row_index FROM events")

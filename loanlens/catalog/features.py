@@ -91,7 +91,7 @@ def standardize(spark, sf_dir):
 @query("""SELECT loan_status, count(*) AS n, round(count(*) / CAST(sum(count(*)) OVER () AS DOUBLE), 6) AS share
           FROM apps WHERE loan_status IS NOT NULL GROUP BY loan_status""", "apps")
 def class_balance(spark, sf_dir):
-    rows = W.applications(spark, sf_dir).where("loan_status IS NOT NULL")
+    rows = W.applications(spark, sf_dir, ["loan_status"]).where("loan_status IS NOT NULL")
     return E.class_balance(rows, "loan_status").withColumn("share", r6("share"))
 
 
@@ -149,14 +149,14 @@ def coerce_outcome(spark, sf_dir):
 
 @query(f"SELECT application_id, {_IN_TEST} AS is_test FROM apps", "apps")
 def split_random(spark, sf_dir):
-    return P.split_random(W.applications(spark, sf_dir).select("application_id"), "application_id")
+    return P.split_random(W.applications(spark, sf_dir, ["application_id"]), "application_id")
 
 
 @query("""SELECT application_id, loan_status, row_number() OVER (PARTITION BY loan_status ORDER BY md5(application_id || ':42'))
             <= ceil(count(*) OVER (PARTITION BY loan_status) * 0.2) AS is_test
           FROM apps WHERE loan_status IS NOT NULL""", "apps")
 def split_stratified(spark, sf_dir):
-    rows = W.applications(spark, sf_dir).select("application_id", "loan_status").where("loan_status IS NOT NULL")
+    rows = W.applications(spark, sf_dir, ["application_id", "loan_status"]).where("loan_status IS NOT NULL")
     return P.split_stratified(rows, "application_id", "loan_status")
 
 
@@ -164,7 +164,7 @@ def split_stratified(spark, sf_dir):
             SELECT loan_status, CAST(CAST('0x' || substr(md5(application_id || ':42'), 1, 8) AS BIGINT) % 5 AS INTEGER) AS fold
             FROM apps WHERE loan_status IS NOT NULL) GROUP BY fold""", "apps")
 def kfold_assignment(spark, sf_dir):
-    rows = W.applications(spark, sf_dir).where("loan_status IS NOT NULL")
+    rows = W.applications(spark, sf_dir, ["application_id", "loan_status"]).where("loan_status IS NOT NULL")
     return rows.groupBy(P.fold("application_id").alias("fold")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("loan_status").alias("defaults")
     )
@@ -194,6 +194,6 @@ def union_training_sources(spark, sf_dir):
     f"CAST(upper(COALESCE(home_ownership, 'UNKNOWN')) = '{v}' AS INTEGER) AS \"home_ownership_{v}\""
     for v in ("MORTGAGE", "OTHER", "OWN", "RENT", "UNKNOWN")) + " FROM upper_apps, fills", "upper_apps fills")
 def prepare_features(spark, sf_dir):
-    rows = W.applications(spark, sf_dir).select("application_id", "person_income", "home_ownership", "loan_status")
+    rows = W.applications(spark, sf_dir, ["application_id", "person_income", "home_ownership", "loan_status"])
     prepared, _ = T.prepare_features(rows, ["application_id"])
     return prepared.withColumn("person_income", r6("person_income"))

@@ -82,7 +82,7 @@ def scan_table(spark, sf_dir):
 
 @query("SELECT id, person_age, loan_amnt, application_status FROM stored_apps ORDER BY id LIMIT 5", "stored_apps")
 def sample_rows(spark, sf_dir):
-    rows = W.stored_applications(spark, sf_dir).select("id", "person_age", "loan_amnt", "application_status")
+    rows = W.stored_applications(spark, sf_dir, ["id", "person_age", "loan_amnt", "application_status"])
     return R.first_rows(rows, ["id"], 5)
 
 
@@ -137,7 +137,7 @@ def export_batch_results(spark, sf_dir):
           FROM stored_apps""", "stored_apps")
 def insert_applications(spark, sf_dir):
     """Half of the applications appended to a stored table that lacks one of their columns."""
-    apps = W.stored_applications(spark, sf_dir).select("id", "loan_amnt", "loan_grade", "application_status", "person_age")
+    apps = W.stored_applications(spark, sf_dir, ["id", "loan_amnt", "loan_grade", "application_status", "person_age"])
     store = tables.Table(spark, scratch_path(spark, "applications"))
     store.append(apps.where("id % 2 = 0").drop("person_age"))
     incoming = apps.where("id % 2 = 1").withColumnRenamed("person_age", "credit_score")
@@ -228,7 +228,7 @@ def clear_tables(spark, sf_dir):
     """Three stored tables, emptied: deleted rows of each and in total, and what is left."""
     contents = {
         "predictions": W.predictions(spark, sf_dir).select("id", "risk_level"),
-        "loan_applications": W.stored_applications(spark, sf_dir).select("id", "application_status"),
+        "loan_applications": W.stored_applications(spark, sf_dir, ["id", "application_status"]),
         "model_metrics": W.model_metrics(spark, sf_dir),
     }
     stores = {}

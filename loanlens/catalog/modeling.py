@@ -113,7 +113,7 @@ def score_batch(spark, sf_dir):
 def score_batch_status(spark, sf_dir):
     """How many rows were scored and how many set aside."""
     rows = P.score_batch(W.applications(spark, sf_dir), scorer(spark, sf_dir))
-    amounts = W.applications(spark, sf_dir).select("application_id", "loan_amnt")
+    amounts = W.applications(spark, sf_dir, ["application_id", "loan_amnt"])
     return rows.select("application_id", "status").join(amounts, "application_id").groupBy("status").agg(
         F.count(F.lit(1)).alias("n"), F.count("loan_amnt").alias("amounts")
     )

@@ -22,7 +22,7 @@ def _preds(spark, sf_dir):
 
 
 def _apps(spark, sf_dir):
-    return W.stored_applications(spark, sf_dir).select(*_APP_COLUMNS)
+    return W.stored_applications(spark, sf_dir, _APP_COLUMNS)
 
 
 @query(f"SELECT {_APP} FROM stored_apps WHERE id = 77", "stored_apps")
@@ -62,7 +62,7 @@ def risk_like(spark, sf_dir):
 
 @query("SELECT application_id, person_emp_length FROM apps WHERE person_emp_length IS NOT NULL", "apps")
 def drop_missing(spark, sf_dir):
-    return R.drop_missing(W.applications(spark, sf_dir).select("application_id", "person_emp_length"), ["person_emp_length"])
+    return R.drop_missing(W.applications(spark, sf_dir, ["application_id", "person_emp_length"]), ["person_emp_length"])
 
 
 @query("SELECT id, created_at FROM preds ORDER BY created_at DESC, id DESC LIMIT 500", "preds")
@@ -105,7 +105,7 @@ def prediction_statistics(spark, sf_dir):
             count(CASE application_status WHEN 'approved' THEN 1 END) AS approved,
             count(CASE application_status WHEN 'rejected' THEN 1 END) AS rejected FROM stored_apps""", "stored_apps")
 def application_statistics(spark, sf_dir):
-    return R.application_statistics(_apps(spark, sf_dir))
+    return R.application_statistics(W.stored_applications(spark, sf_dir, ["application_status"]))
 
 
 @query("""SELECT 'predictions' AS table_name, count(*) AS record_count FROM events
@@ -236,7 +236,7 @@ def crosstab_grade_status(spark, sf_dir):
 
 @query("SELECT loan_status, count(*) AS n FROM apps GROUP BY loan_status", "apps")
 def count_by_status(spark, sf_dir):
-    return W.applications(spark, sf_dir).groupBy("loan_status").agg(F.count(F.lit(1)).alias("n"))
+    return W.applications(spark, sf_dir, ["loan_status"]).groupBy("loan_status").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""SELECT total, approved, rejected, round(approved * CAST(100 AS DOUBLE) / total, 4) AS approved_pct,
@@ -298,7 +298,7 @@ def share_of_total(spark, sf_dir):
           FROM preds p LEFT JOIN stored_apps a ON a.id = p.application_id""", "preds stored_apps")
 def join_application_prediction(spark, sf_dir):
     preds = W.predictions(spark, sf_dir).select("id", "application_id", "risk_level")
-    apps = W.stored_applications(spark, sf_dir).select("id", "loan_amnt", "application_status")
+    apps = W.stored_applications(spark, sf_dir, ["id", "loan_amnt", "application_status"])
     return J.join_application_prediction(preds, apps)
 
 

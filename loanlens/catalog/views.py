@@ -40,44 +40,54 @@ def _lookup(code, values: dict):
     return F.try_element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), code)
 
 
-def applications(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One application per order, with missing and out-of-range values as the tables give them."""
-    line = spread(table(spark, sf_dir, "lineitem"), "l_orderkey")
-    lines = line.groupBy("l_orderkey").agg(
-        F.sum(F.round(F.col("l_tax") * 100).cast("bigint")).alias("tax_cents"),
-        F.count(F.lit(1)).alias("line_count"),
-        F.max((F.col("l_returnflag") == "R").cast("int")).alias("returned"),
-        # one number hash-aggregates; a line number over 2^23 or a part key over 2^40 would fail, not mix
-        F.min(F.col("l_linenumber").cast("long") * (1 << 40) + F.col("l_partkey")).alias("first_line"),
-    )
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_type")
-    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
-    joined = (
-        spread(table(spark, sf_dir, "orders"), "o_orderkey")
-        .join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
-        .join(customer, F.col("o_custkey") == F.col("c_custkey"), "left")
-        .join(part, F.col("first_line") % (1 << 40) == F.col("p_partkey"), "left")
-    )
+#: Columns of the view that need a table beside orders.
+_OF_LINES = {"loan_int_rate", "default_on_file", "loan_intent"}
+_OF_CUSTOMER = {"person_income", "home_ownership", "loan_percent_income"}
+_OF_PART = {"loan_intent"}
+
+
+def applications(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
+    """One application per order, with missing and out-of-range values as the tables give them.
+
+    Only the tables that ``columns`` (default: all) need are read and joined.
+    """
+    columns = columns or ["application_id", *S.CANONICAL, "loan_status", "created_at"]
+    joined = spread(table(spark, sf_dir, "orders"), "o_orderkey")
+    if _OF_LINES & set(columns):
+        line = spread(table(spark, sf_dir, "lineitem"), "l_orderkey")
+        lines = line.groupBy("l_orderkey").agg(
+            F.sum(F.round(F.col("l_tax") * 100).cast("bigint")).alias("tax_cents"),
+            F.count(F.lit(1)).alias("line_count"),
+            F.max((F.col("l_returnflag") == "R").cast("int")).alias("returned"),
+            # one number hash-aggregates; a line number over 2^23 or a part key over 2^40 would fail, not mix
+            F.min(F.col("l_linenumber").cast("long") * (1 << 40) + F.col("l_partkey")).alias("first_line"),
+        )
+        joined = joined.join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    if _OF_CUSTOMER & set(columns):
+        customer = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
+        joined = joined.join(customer, F.col("o_custkey") == F.col("c_custkey"), "left")
+    if _OF_PART & set(columns):
+        part = table(spark, sf_dir, "part").select("p_partkey", "p_type")
+        joined = joined.join(part, F.col("first_line") % (1 << 40) == F.col("p_partkey"), "left")
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
-    base = joined.select(
-        key.alias("application_id"),
-        (F.lit(16) + F.pmod(cust, F.lit(90))).cast("double").alias("person_age"),
-        F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal") * 12).alias("person_income"),
-        F.when(cust % 10 != 0, (cust % 41).cast("double")).alias("person_emp_length"),
-        F.when(key % 50 != 0, F.col("o_totalprice") / 10).alias("loan_amnt"),
-        (F.lit(5.0) + F.lit(1.5) * F.col("tax_cents") / F.col("line_count")).alias("loan_int_rate"),
-        (F.lit(2001) - F.year("o_orderdate")).cast("double").alias("cb_person_cred_hist_length"),
-        _lookup(F.col("c_mktsegment"), HOME).alias("home_ownership"),
-        _lookup(F.col("p_type"), INTENT).alias("loan_intent"),
-        _lookup(F.substring("o_orderpriority", 1, 1), GRADE).alias("loan_grade"),
-        F.when(F.col("returned") == 1, "Y").when(F.col("returned") == 0, "N").alias("default_on_file"),
-        _lookup(F.col("o_orderstatus"), STATUS).alias("loan_status"),
-        F.col("o_orderdate").alias("created_at"),
-    )
-    ratio = F.when(F.col("application_id") % 2 != 0, F.try_divide(F.col("loan_amnt"), F.col("person_income")))
-    return base.withColumn("loan_percent_income", ratio).select(
-        "application_id", *S.CANONICAL, "loan_status", "created_at"
-    )
+    income, amount = F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal") * 12), F.when(key % 50 != 0, F.col("o_totalprice") / 10)
+    values = {
+        "application_id": key,
+        "person_age": (F.lit(16) + F.pmod(cust, F.lit(90))).cast("double"),
+        "person_income": income,
+        "person_emp_length": F.when(cust % 10 != 0, (cust % 41).cast("double")),
+        "loan_amnt": amount,
+        "loan_int_rate": F.lit(5.0) + F.lit(1.5) * F.col("tax_cents") / F.col("line_count"),
+        "cb_person_cred_hist_length": (F.lit(2001) - F.year("o_orderdate")).cast("double"),
+        "home_ownership": _lookup(F.col("c_mktsegment"), HOME),
+        "loan_intent": _lookup(F.col("p_type"), INTENT),
+        "loan_grade": _lookup(F.substring("o_orderpriority", 1, 1), GRADE),
+        "default_on_file": F.when(F.col("returned") == 1, "Y").when(F.col("returned") == 0, "N"),
+        "loan_status": _lookup(F.col("o_orderstatus"), STATUS),
+        "created_at": F.col("o_orderdate"),
+        "loan_percent_income": F.when(key % 2 != 0, F.try_divide(amount, income)),
+    }
+    return joined.select(*(values[c].alias(c) for c in columns))
 
 
 def raw_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,10 +97,13 @@ def raw_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def stored_applications(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stored_applications(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
     key = F.col("id") % 3
     status = F.when(key == 0, "pending").when(key == 1, "approved").otherwise("rejected")
-    return applications(spark, sf_dir).withColumnRenamed("application_id", "id").withColumn("application_status", status)
+    wanted = [c for c in columns if c not in ("id", "application_status")] if columns else None
+    rows = applications(spark, sf_dir, ["application_id", *wanted] if columns else None)
+    stored = rows.withColumnRenamed("application_id", "id").withColumn("application_status", status)
+    return stored.select(*columns) if columns else stored
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:

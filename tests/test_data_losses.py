@@ -130,3 +130,11 @@ def test_applications_are_hash_aggregated(spark, small):
 
     assert "SortAggregate" not in views.applications(spark, small)._jdf.queryExecution().executedPlan().toString()
     assert set(S.CANONICAL) <= set(views.applications(spark, small).columns)
+
+
+@pytest.mark.parametrize("name", ["join_application_prediction", "split_random", "class_balance", "count_by_status", "application_statistics"])
+def test_only_needed_tables_are_read(spark, small, name):
+    from loanlens.catalog import QUERIES
+
+    plan = QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem" not in plan and "l_orderkey" not in plan and "c_custkey" not in plan
