@@ -64,6 +64,8 @@ def main() -> None:
     times["train_100_trees"] = timed(fit)
     scorer = P.Scorer(fitted["model"], features, views.fill_values(spark, SF_DIR))
     times["score_batch"] = timed(lambda: P.score_batch(views.applications(spark, SF_DIR), scorer))
+    one = spark.createDataFrame(views.applications(spark, SF_DIR).limit(1).collect(), views.applications(spark, SF_DIR).schema)
+    times["predict_one_explained"] = timed(lambda: P.score_batch(one, scorer, explain=True))
     times["score_batch_explained"] = timed(lambda: P.score_batch(views.applications(spark, SF_DIR), scorer, explain=True))
 
     rows = views.table(spark, SF_DIR, "orders").count()
