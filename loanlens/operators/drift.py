@@ -4,7 +4,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loanlens import schema as S
-from loanlens.session import broadcast_if_small
 
 
 def _finding(feature: str, value: Column, s: dict) -> Column:
@@ -31,15 +30,16 @@ def drift_check(df: DataFrame, stats: dict | None = None, name: str = "drift") -
 
 
 def drift_notes(findings: Column) -> Column:
-    """The findings as text."""
+    """The findings as text: range bounds as they are, deviations with two places."""
     def text(d: Column) -> Column:
         outside = F.when(d["kind"] == "range", S.DRIFT_OUTSIDE["range"]).otherwise(S.DRIFT_OUTSIDE["sigma"])
-        span = F.concat(F.round(d["lower"], 2).cast("string"), F.lit(", "), F.round(d["upper"], 2).cast("string"))
+        whole = F.concat(d["lower"].cast("string"), F.lit(", "), d["upper"].cast("string"))
+        span = F.when(d["kind"] == "range", whole).otherwise(F.format_string("%.2f, %.2f", d["lower"], d["upper"]))
         return F.concat(d["feature"], F.lit(S.DRIFT_VALUE), d["value"].cast("string"), outside, span, F.lit("]"))
 
     return F.transform(findings, text)
 
 
 def join_stats(values: DataFrame, stats: DataFrame) -> DataFrame:
-    """Tall ``(feature, value)`` rows with their feature's statistics (normally one row per column)."""
-    return values.join(broadcast_if_small(stats), "feature", "left")
+    """Tall ``(feature, value)`` rows with their feature's statistics; ``stats`` holds one row per column, which bounds it."""
+    return values.join(F.broadcast(stats), "feature", "left")

@@ -138,3 +138,12 @@ def test_only_needed_tables_are_read(spark, small, name):
 
     plan = QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
     assert "lineitem" not in plan and "l_orderkey" not in plan and "c_custkey" not in plan
+
+
+def test_drift_texts(spark):
+    from loanlens.operators.drift import drift_notes
+
+    kind = "array<struct<feature:string,value:double,kind:string,lower:double,upper:double>>"
+    rows = spark.createDataFrame([([("age", 200.0, "range", 20.125, 144.0), ("rate", 30.0, "sigma", 16.5, 25.004)],)], f"d {kind}")
+    first, second = rows.select(drift_notes(F.col("d")).alias("n")).first().n
+    assert first.endswith("[20.125, 144.0]") and second.endswith("[16.50, 25.00]")
