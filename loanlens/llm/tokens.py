@@ -9,7 +9,7 @@ from array import array
 from functools import cache
 
 #: Chunks and words whose ids a task keeps; then it starts over.
-KEPT_CHUNKS, KEPT_WORDS = 300_000, 200_000
+KEPT_CHUNKS, KEPT_WORDS = 450_000, 250_000
 #: Latin letters that stay as they are under NFC, and a tail of ASCII punctuation: two units for either tokenizer.
 _SIMPLE = re.compile(r"( ?)([A-Za-zÀ-ÖØ-öø-įĀ-į]+)([!-/:-@\[-`{-~]*)")
 #: White space outside ASCII, on which the splits below would not agree with the tokenizer's.
