@@ -38,11 +38,11 @@ PROBE_COST = 4.0
 PLAN_SAMPLE = 1024
 
 
-def fingerprint(text: bytes, width: int = 3) -> int:
-    """64-bit SimHash of the lower-cased (A-Z only) text's word shingles, repeats included; no word: 0."""
+def shingles(text: bytes, width: int) -> np.ndarray:
+    """Hashes of the lower-cased (A-Z only) text's word shingles, repeats included; no word: none."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.empty(0, "<u8")
     joined = b" ".join(words)
     if len(words) <= width:
         spans = [(0, len(joined))]
@@ -51,7 +51,14 @@ def fingerprint(text: bytes, width: int = 3) -> int:
         begins = np.concatenate([[0], ends[:-1] + 1])
         spans = zip(begins[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist())
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[s:e], 42) for s, e in spans], dtype="<u8")
+    return np.array([digest(joined[s:e], 42) for s, e in spans], dtype="<u8")
+
+
+def fingerprint(text: bytes, width: int = 3) -> int:
+    """64-bit SimHash of the text's word shingles; no word: 0."""
+    hashes = shingles(text, width)
+    if not len(hashes):
+        return 0
     ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
