@@ -21,8 +21,6 @@ from loanlens.session import scratch_path
 from loanlens.sources import tables
 from loanlens.streaming import jobs
 
-# fewer and flatter trees than the library default, so that a check run stays short
-SMALL = {"maxIter": 10, "maxDepth": 4}
 FEATURES = S.model_features()
 NOW = datetime(2025, 1, 1)
 
@@ -35,7 +33,7 @@ def _encoded(spark, sf_dir):
 @lru_cache(maxsize=8)
 def _trained(app_id, spark, sf_dir):
     train = _encoded(spark, sf_dir).where(~in_test("application_id"))
-    return M.fit_boosted_trees(train, FEATURES, "loan_status", SMALL)
+    return M.fit_boosted_trees(train, FEATURES, "loan_status")
 
 
 def scorer(spark, sf_dir) -> P.Scorer:
@@ -55,32 +53,30 @@ def train_boosted_trees(spark, sf_dir):
     return _metric_rows(spark, M.evaluate_model(scorer(spark, sf_dir).model.transform(test), "loan_status"))
 
 
-def _forest(params):
-    return M.forest_pipeline(S.NUMERIC, S.CATEGORICAL, "loan_status", params)
+def _forest():
+    return M.forest_pipeline(S.NUMERIC, S.CATEGORICAL, "loan_status")
 
 
 @query()
 def train_random_forest(spark, sf_dir):
     rows = W.imputed(spark, sf_dir).where("loan_status IS NOT NULL")
-    model = _forest({"numTrees": 10}).fit(rows.where(~in_test("application_id")))
+    model = _forest().fit(rows.where(~in_test("application_id")))
     return _metric_rows(spark, M.evaluate_model(model.transform(rows.where(in_test("application_id"))), "loan_status"))
 
 
 @query()
 def kfold_cv(spark, sf_dir):
-    """Accuracy of a small forest per fold and on average."""
+    """Accuracy of the forest per fold and on average."""
     rows = W.imputed(spark, sf_dir).where("loan_status IS NOT NULL")
-    scores, mean = M.kfold_cv(rows, _forest({"numTrees": 5}), "application_id", "loan_status")
+    scores, mean = M.kfold_cv(rows, _forest(), "application_id", "loan_status")
     return _metric_rows(spark, {**{f"fold_{i}": s for i, s in enumerate(scores)}, "mean": mean})
 
 
 @query()
 def train_flexible(spark, sf_dir):
     """Training on a frame of unknown columns."""
-    rows = W.applications(spark, sf_dir).where("loan_status IS NOT NULL").select(
-        "application_id", "person_age", "person_income", "loan_amnt", "loan_grade", "home_ownership", "loan_status"
-    )
-    result = M.train_flexible(rows, "application_id", params=SMALL)
+    rows = W.applications(spark, sf_dir).where("loan_status IS NOT NULL").select("application_id", *S.CANONICAL, "loan_status")
+    result = M.train_flexible(rows, "application_id")
     return _metric_rows(spark, {**result.metrics, "n_features": len(result.features), "n_train": result.train_rows})
 
 
@@ -88,7 +84,7 @@ def train_flexible(spark, sf_dir):
 def retrain(spark, sf_dir):
     """Retraining from feedback with a saved, versioned model; the stored metrics row."""
     store = tables.ModelStore(spark, scratch_path(spark, "models"))
-    M.retrain(_feedback_rows(spark, sf_dir), params=SMALL, store=store)
+    M.retrain(_feedback_rows(spark, sf_dir), store=store)
     return store.metrics.read()
 
 

@@ -178,3 +178,20 @@ def test_fill_values_fall_back(applications):
 
     row = impute(applications({}), FillValues()).first()
     assert (row.person_age, row.person_income, row.loan_percent_income) == (35.0, 50000.0, 0.25)
+
+
+def test_queries_train_at_full_size(spark, small, monkeypatch):
+    from loanlens.catalog import modeling
+
+    seen = {}
+
+    def seen_as(name, result=None):
+        return lambda *given, **named: seen.update({name: (given, named)}) or result
+
+    monkeypatch.setattr(T, "fit_boosted_trees", seen_as("boosted"))
+    monkeypatch.setattr(T, "train_flexible", seen_as("flexible", T.Trained(None, [], {}, 0, 0, {})))
+    modeling._trained.__wrapped__("", spark, small)
+    modeling.train_flexible(spark, small)
+    assert len(seen["boosted"][0]) == 3 and not seen["boosted"][1]  # no parameters: those of the library
+    assert set(seen["flexible"][0][0].columns) == {"application_id", *S.CANONICAL, "loan_status"} and "params" not in seen["flexible"][1]
+    assert modeling._forest().getStages()[-1].getNumTrees() == T.FOREST["numTrees"]
