@@ -1,11 +1,27 @@
 """The training-data operators as queries over the given tables."""
 
 from collections.abc import Callable
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loanlens.llm import chat_links, divergence, embedding_dedup, langid, mixing, packing, secret_scan, simhash, token_store, tokens, toxicity
+from loanlens.llm import (
+    chat_links,
+    divergence,
+    embedding_dedup,
+    integrity_sql,
+    langid,
+    merkle,
+    mixing,
+    packing,
+    prefix_hash,
+    secret_scan,
+    simhash,
+    token_store,
+    tokens,
+    toxicity,
+)
 from loanlens.llm.common import WORD, crc_mod, read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -225,3 +241,23 @@ def _divergence_sql() -> str:
 def op5_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = divergence.judge(read_table(spark, sf_dir, "documents"))
     return found.withColumns({c: F.round(c, 5) for c in ("js_classes", "js_common")})
+
+
+@query(integrity_sql.MERKLE)
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+
+    def leaf(text):
+        return merkle.leaf_of(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)
+
+    lowered = F.translate("text", ascii_uppercase, ascii_lowercase)
+    rows = docs.select("doc_id", "lang", leaf(F.col("text")).alias("leaf"), F.when(crc_mod(F.col("doc_id"), 3) == 0, leaf(lowered)).alias("tampered"))
+    found = merkle.fold(merkle.build(rows), "tampered")
+    return found.select(
+        "row.doc_id", F.lower(F.hex("row.leaf")).alias("leaf"), "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified")
+    )
+
+
+@query()
+def op12_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_hash.compare_with_next(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
