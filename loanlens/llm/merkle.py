@@ -51,10 +51,10 @@ def _padded(nodes: np.ndarray) -> np.ndarray:
     return out.reshape(-1, FAN_OUT, 8)
 
 
-def grow(leaves: np.ndarray, whole: bool) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """All levels above ``leaves``, and the parents' states. A block that is one of several has all its levels."""
+def grow(leaves: np.ndarray, whole: bool, most: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Up to ``most`` levels above ``leaves``, and the parents' states. A block that is one of several (``whole``) has all its levels."""
     levels, states = [leaves], []
-    while len(states) < BLOCK_LEVELS and (whole or len(levels[-1]) > 1):
+    while len(states) < most and (whole or len(levels[-1]) > 1):
         up, kept, _ = parents(levels[-1])
         levels.append(up)
         states.append(kept)
@@ -101,11 +101,11 @@ def add_siblings(step: np.ndarray, state: np.ndarray) -> None:
 # ---- rounds of blocks ----
 
 
-def _build_block(table: pa.Table) -> pa.Table:
+def _build_block(table: pa.Table, most: int) -> pa.Table:
     order = np.argsort(table["pos"].to_numpy())
     leaves = sha256.from_bytes(b"".join(table["digest"].to_pylist()))[order]
-    block = table["pos"][0].as_py() // FAN_OUT**BLOCK_LEVELS
-    levels, states = grow(leaves, block > 0)
+    block = table["block"][0].as_py()
+    levels, states = grow(leaves, block > 0, most)
     return pa.table({
         "tree": pa.array([table["tree"][0].as_py()], pa.string()), "block": pa.array([block], pa.int64()), "n": pa.array([len(leaves)], pa.int64()),
         "height": pa.array([len(states)], pa.int32()), "nodes": pa.array([b"".join(map(sha256.to_bytes, levels))], pa.binary()),
@@ -113,7 +113,11 @@ def _build_block(table: pa.Table) -> pa.Table:
     })
 
 
-def _rounds(nodes: DataFrame) -> list[DataFrame]:
+def _block(levels: int) -> Column:
+    return F.floor(F.col("pos") / FAN_OUT**levels)
+
+
+def _rounds(nodes: DataFrame, levels: int) -> list[DataFrame]:
     """Records of the blocks over ``nodes (tree, pos, digest)``, then of those over their roots, until each tree is one block.
 
     Positions count from 0 within a tree. Which block a node lies in follows from its position, so a tree of any size is
@@ -121,21 +125,25 @@ def _rounds(nodes: DataFrame) -> list[DataFrame]:
     """
     out = []
     while True:
-        placed = nodes.withColumn("block", F.floor(F.col("pos") / FAN_OUT**BLOCK_LEVELS))
-        records = materialize(placed.groupBy("tree", "block").applyInArrow(_build_block, _RECORD), "merkle")
+        groups = nodes.withColumn("block", _block(levels)).groupBy("tree", "block")
+
+        def grown(table: pa.Table) -> pa.Table:
+            return _build_block(table, levels)
+
+        records = materialize(groups.applyInArrow(grown, _RECORD), "merkle")
         out.append(records)
         if records.where("block > 0").isEmpty():
             return out
         nodes = records.select("tree", F.col("block").alias("pos"), F.col("root").alias("digest"))
 
 
-def _open_records(carried: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _open_records(carried: list[str], levels: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for record in batch.to_pylist():
                 steps = _steps(record, np.arange(record["n"]))
                 own = [b"".join(s[i].tobytes() for s in steps) for i in range(record["n"])]
-                first = record["block"] * FAN_OUT**BLOCK_LEVELS
+                first = record["block"] * FAN_OUT**levels
                 columns = {
                     "tree": [record["tree"]] * record["n"], "pos": range(first, first + record["n"]), "path": [p + record["path"] for p in own],
                     **{c: [record[c]] * record["n"] for c in carried},
@@ -146,13 +154,13 @@ def _open_records(carried: list[str]) -> Callable[[Iterator[pa.RecordBatch]], It
     return run
 
 
-def _descend(rounds: list[DataFrame], paths: DataFrame, carried: list[str]) -> DataFrame:
+def _descend(rounds: list[DataFrame], paths: DataFrame, carried: list[str], levels: int) -> DataFrame:
     """``paths (tree, path, ...)`` of whole trees, taken down to the blocks of the first round: ``(tree, block, path, ...)``."""
     paths = paths.withColumn("block", F.lit(0).cast("long"))
     for records in reversed(rounds[1:]):
         schema = "tree string, pos long, path binary" + "".join(f", {c} binary" for c in carried)
         opened = records.join(paths, ["tree", "block"]).select(*records.columns, "path", *carried)
-        paths = opened.mapInArrow(_open_records(carried), schema).withColumnRenamed("pos", "block")
+        paths = opened.mapInArrow(_open_records(carried, levels), schema).withColumnRenamed("pos", "block")
     return paths
 
 
@@ -160,12 +168,13 @@ def _descend(rounds: list[DataFrame], paths: DataFrame, carried: list[str]) -> D
 class Manifest:
     """``leaves``: all columns of the rows, with ``tree`` (their group's name) and ``pos``. ``blocks``: the records of the leaves' blocks
     with the path from each block to the root, and both roots. ``rounds``, ``top``: the records of all nodes of the groups'
-    trees and of the tree over them."""
+    trees and of the tree over them, in blocks of so many ``levels``."""
 
     leaves: DataFrame
     blocks: DataFrame
     rounds: list[DataFrame]
     top: list[DataFrame]
+    levels: int
 
 
 def group_name(group: Column) -> Column:
@@ -173,7 +182,7 @@ def group_name(group: Column) -> Column:
     return F.when(group.isNull(), F.lit("")).otherwise(F.concat(F.lit("="), group.cast("string")))
 
 
-def build(rows: DataFrame, key: str = "doc_id", group: str = "lang", leaf: str = "leaf") -> Manifest:
+def build(rows: DataFrame, key: str = "doc_id", group: str = "lang", leaf: str = "leaf", levels: int = BLOCK_LEVELS) -> Manifest:
     """Manifest of ``rows`` with a digest (binary, 32 bytes) in ``leaf``.
 
     Within a group leaves ascend by ``key``, null first; rows of equal keys by their digest, so repeated rows are leaves of
@@ -185,23 +194,23 @@ def build(rows: DataFrame, key: str = "doc_id", group: str = "lang", leaf: str =
         F.col(f"`{key}`").alias("key"), F.col(f"`{leaf}`").alias("digest"),
     )
     placed = materialize(with_group_index(packed, ["tree"], ["key", "digest"], "pos").withColumn("pos", F.col("pos") - 1), "leaves")
-    rounds = _rounds(placed.select("tree", "pos", "digest"))
+    rounds = _rounds(placed.select("tree", "pos", "digest"), levels)
     names = materialize(with_row_index(rounds[-1].select(F.col("tree").alias("name"), F.col("root").alias("digest")), ["name"], "pos"), "groups")
-    top = _rounds(names.select(F.lit("").alias("tree"), "pos", "digest"))
+    top = _rounds(names.select(F.lit("").alias("tree"), "pos", "digest"), levels)
 
     start = top[-1].select("tree", F.lit(b"").alias("path"), F.col("root").alias("whole"))
-    over = _descend(top, start, ["whole"])
+    over = _descend(top, start, ["whole"], levels)
     opened = top[0].join(over, ["tree", "block"]).select(*top[0].columns, "path", "whole")
-    over = opened.mapInArrow(_open_records(["whole"]), "tree string, pos long, path binary, whole binary").drop("tree")
+    over = opened.mapInArrow(_open_records(["whole"], levels), "tree string, pos long, path binary, whole binary").drop("tree")
     over = over.join(names, "pos").select(F.col("name").alias("tree"), "path", "whole", F.col("digest").alias("part"))
-    down = _descend(rounds, over, ["whole", "part"])
+    down = _descend(rounds, over, ["whole", "part"], levels)
     blocks = materialize(rounds[0].join(down, ["tree", "block"]), "paths")
-    return Manifest(placed, blocks, rounds, top)
+    return Manifest(placed, blocks, rounds, top, levels)
 
 
 def _fold_block(leaves: pa.Table, blocks: pa.Table) -> pa.Table:
     record = blocks.to_pylist()[0]
-    places = leaves["pos"].to_numpy() % FAN_OUT**BLOCK_LEVELS
+    places = leaves["place"].to_numpy()
     digest = sha256.from_bytes(b"".join(leaves["now"].to_pylist()))
     state, hashed = sha256.initial(len(places)), np.zeros(len(places), np.int64)
     upper = np.frombuffer(record["path"], _STEP)
@@ -225,8 +234,8 @@ def fold(manifest: Manifest, now: str) -> DataFrame:
     level by level, left to right) and ``folded_root``, all in hexadecimal. Only the states kept before the leaf's slots, the
     replacement and right siblings are hashed for the root.
     """
-    at = F.floor(F.col("pos") / FAN_OUT**BLOCK_LEVELS)
-    leaves = manifest.leaves.select("row", "tree", at.alias("block"), "pos", F.coalesce(f"row.`{now}`", "digest").alias("now"))
+    place = F.col("pos") % FAN_OUT**manifest.levels
+    leaves = manifest.leaves.select("row", "tree", _block(manifest.levels).alias("block"), place.alias("place"), F.coalesce(f"row.`{now}`", "digest").alias("now"))
     rows = leaves.schema["row"].dataType.simpleString()
     schema = f"row {rows}, subroot string, root string, proof_sha256 string, folded_root string"
     return leaves.groupBy("tree", "block").cogroup(manifest.blocks.groupBy("tree", "block")).applyInArrow(_fold_block, schema)

@@ -16,6 +16,7 @@ from loanlens.llm import (
     mixing,
     packing,
     prefix_hash,
+    repair,
     secret_scan,
     simhash,
     token_store,
@@ -261,3 +262,15 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op12_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_hash.compare_with_next(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query(integrity_sql.REPAIR)
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    found = repair.repair(repair.damage(turns))
+    every = turns.select("conv_id").distinct().withColumn("conv", repair.key_name(F.col("conv_id")))
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return every.join(found, "conv", "left").select(
+        "conv_id", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts), F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
