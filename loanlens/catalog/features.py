@@ -74,6 +74,24 @@ def one_hot_ignore_unknown(spark, sf_dir):
     return E.one_hot_dynamic(rows, known)
 
 
+@query("""WITH names AS (SELECT 'b' AS k, p_brand AS v, count(*) AS n FROM part GROUP BY ALL UNION ALL SELECT 'n', p_name, count(*) FROM part GROUP BY ALL
+              UNION ALL SELECT 't', p_type, count(*) FROM part GROUP BY ALL),
+            places AS (SELECT *, row_number() OVER (ORDER BY k, v) - 1 AS place FROM names)
+          SELECT p_partkey, p_size, list_sort([b.place, n.place, t.place])::INTEGER[] AS places,
+            (SELECT count(*) FROM places) AS n_places, b.n AS brand_parts
+          FROM part JOIN places b ON b.k = 'b' AND b.v = p_brand JOIN places n ON n.k = 'n' AND n.v = p_name JOIN places t ON t.k = 't' AND t.v = p_type""")
+def one_hot_sparse(spark, sf_dir):
+    """All names, brands and types as flags of one sparse vector; counts read back from the flags."""
+    columns = ["p_brand", "p_name", "p_type"]
+    rows = W.table(spark, sf_dir, "part").select("p_partkey", "p_size", *columns)
+    values = E.categories(rows, columns)
+    flags = E.one_hot_sparse(rows, values).withColumn("places", E.set_flags(F.col("flags")))
+    brands = flags.groupBy(F.element_at("places", 1).alias("place")).agg(F.count(F.lit(1)).alias("brand_parts"))
+    n = sum(len(v) for v in values.values())
+    out = flags.join(brands, F.element_at("places", 1) == F.col("place"))
+    return out.select("p_partkey", "p_size", "places", F.lit(n).cast("long").alias("n_places"), "brand_parts")
+
+
 _IN_TEST = "substr(md5(application_id || ':42'), 1, 4) < '3333'"
 _SCALED = ["person_age", "person_income", "loan_amnt"]
 

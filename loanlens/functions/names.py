@@ -36,3 +36,12 @@ def check_name(name: str) -> str:
     if not re.fullmatch(SAFE_NAME.strip("^$"), name):
         raise ValueError(f"invalid column name: {name!r}")
     return name
+
+
+def quoted(name: str) -> Column:
+    """The column of exactly this name, whatever dots or backticks it holds."""
+    return F.col(quote(name))
+
+
+def quote(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"

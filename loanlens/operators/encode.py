@@ -2,16 +2,20 @@
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.ml import PipelineModel, Transformer
+from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loanlens import schema as S
+from loanlens.functions.names import quoted
 from loanlens.functions.risk import target_from_text
 from loanlens.operators.stats import low_cardinality_counts, numeric_columns, tall
 
 
 def _flag(column: str, value: str, name: str) -> Column:
-    return F.coalesce((F.col(f"`{column}`") == value).cast("int"), F.lit(0)).alias(name)
+    return F.coalesce((quoted(column) == value).cast("int"), F.lit(0)).alias(name)
 
 
 def fixed_flags() -> dict[str, Column]:
@@ -54,30 +58,64 @@ def ignored_feature_count(features: list[str]) -> Column:
     return sum(flags, F.lit(0))
 
 
-def categories(df: DataFrame, columns: list[str], limit: int = 1000) -> dict[str, list[str]]:
-    """Sorted distinct values per column.
+def categories(df: DataFrame, columns: list[str], least: int = 1) -> dict[str, list[str]]:
+    """Sorted values per column that at least ``least`` rows hold.
 
-    They become columns of the plan, so their number has a limit; beyond it this fails rather than
-    dropping any.
+    Values are counted before the shuffle; only those kept reach the driver, where they become part of the model.
     """
     if not columns:
         return {}
-    values = tall(df, columns, dtype="string").where(F.col("value").isNotNull()).distinct()
-    rows = values.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} categories in {columns}; raise the limit or drop a column")
+    places = df.select(*[quoted(c).cast("string").alias(f"c{i}") for i, c in enumerate(columns)])
+    counts = tall(places, places.columns, dtype="string").where(F.col("value").isNotNull()).groupBy("feature", "value").count()
     found = {c: [] for c in columns}
-    for r in rows:
-        found[r.feature].append(r.value)
+    for r in counts.where(F.col("count") >= least).select("feature", "value").collect():
+        found[columns[int(r.feature[1:])]].append(r.value)
     return {c: sorted(vs) for c, vs in found.items()}
 
 
+def flag_stages(values: dict[str, list[str]], output: str) -> list[Transformer]:
+    """Stages that turn text columns into one sparse vector of 0/1 flags, in the order of ``values``.
+
+    Each column becomes an index, each index a run of places in the vector: no column per category, so their number has no
+    limit, and no category in a column name. A value outside the list, or null, has no flag. Categories are
+    matched behind a mark, because the stages take no empty ones. A column without categories gives no place.
+    """
+    used = {c: [f"={v}" for v in vs] for c, vs in values.items() if vs}
+    if not used:
+        return []
+    index, flags = [f"{c}__index" for c in used], [f"{c}__flags" for c in used]
+    # one stage per column: lists of different lengths do not pass into one
+    indexers = [StringIndexerModel.from_labels(vs, c, i, handleInvalid="keep") for (c, vs), i in zip(used.items(), index)]
+    # learns the number of categories from the indexers' metadata; no row is read
+    empty = SparkSession.getActiveSession().createDataFrame([], ", ".join(f"{c} string" for c in used))
+    encoder = OneHotEncoder(inputCols=index, outputCols=flags, dropLast=True).fit(PipelineModel(indexers).transform(empty))
+    return [*indexers, encoder, VectorAssembler(inputCols=flags, outputCol=output)]
+
+
+def one_hot_sparse(df: DataFrame, values: dict[str, list[str]], drop_first: bool = False, name: str = "flags") -> DataFrame:
+    """Replace each column of ``values`` by its flags in one sparse vector ``name`` over all categories of all of them."""
+    columns = {f"t{i}": vs[1 if drop_first else 0 :] for i, vs in enumerate(values.values())}
+    others = [c for c in df.columns if c not in values]
+    marked = [F.concat(F.lit("="), quoted(c).cast("string")).alias(t) for c, t in zip(values, columns)]
+    packed = df.select(F.struct(*[quoted(c).alias(f"o{i}") for i, c in enumerate(others)]).alias("others"), *marked)
+    stages = flag_stages(columns, "flags__")
+    out = PipelineModel(stages).transform(packed) if stages else packed.withColumn("flags__", array_to_vector(F.array().cast("array<double>")))
+    return out.select(*[F.col(f"others.o{i}").alias(c) for i, c in enumerate(others)], F.col("flags__").alias(name))
+
+
+def set_flags(vector: Column) -> Column:
+    """Places of the flags that are set in a sparse vector, ascending."""
+    parts = F.unwrap_udt(vector)
+    dense = F.filter(F.transform(parts["values"], lambda v, i: F.when(v != 0, i)), lambda i: i.isNotNull())
+    return F.coalesce(parts["indices"], dense)
+
+
 def one_hot_dynamic(df: DataFrame, values: dict[str, list[str]], drop_first: bool = False) -> DataFrame:
-    """Replace each column by one 0/1 column ``<column>_<value>`` per value."""
+    """Replace each column by one 0/1 column ``<column>_<value>`` per value; for many values take ``one_hot_sparse``."""
     flags = [
         _flag(c, v, f"{c}_{v}") for c, vs in values.items() for v in vs[1 if drop_first else 0:]
     ]
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in values], *flags)
+    return df.select(*[quoted(c) for c in df.columns if c not in values], *flags)
 
 
 @dataclass
@@ -91,7 +129,7 @@ class Scaler:
     def fit(cls, df: DataFrame, columns: list[str]) -> "Scaler":
         """One pass over the training rows; a constant column keeps scale 1."""
         row = df.agg(*[
-            agg(F.col(f"`{c}`")).alias(f"{p}_{i}")
+            agg(quoted(c)).alias(f"{p}_{i}")
             for i, c in enumerate(columns) for p, agg in (("m", F.avg), ("s", F.stddev_pop))
         ]).first()
         at = range(len(columns))
@@ -101,7 +139,7 @@ class Scaler:
         )
 
     def scaled(self, column: str) -> Column:
-        return (F.col(f"`{column}`") - F.lit(self.mean[column])) / F.lit(self.std[column])
+        return (quoted(column) - F.lit(self.mean[column])) / F.lit(self.std[column])
 
     def transform(self, df: DataFrame) -> DataFrame:
         return df.withColumns({c: self.scaled(c) for c in self.mean})
@@ -141,17 +179,17 @@ def map_target(df: DataFrame, column: str, name: str = "label", on_unmapped: str
     """
     kind = dict(df.dtypes)[column]
     if kind == "string":
-        label = target_from_text(F.col(column))
+        label = target_from_text(quoted(column))
     else:
-        number = F.col(column).cast("double")
+        number = quoted(column).cast("double")
         df = df.where(~F.isnan(number))
         label = F.when(number.isin(0.0, 1.0), number.cast("int"))
-    df = df.where(F.col(column).isNotNull())
+    df = df.where(quoted(column).isNotNull())
     out = df.withColumns({f"{name}_unmapped": label.isNull(), name: F.coalesce(label, F.lit(0))})
     if on_unmapped == "drop":
         return out.where(~F.col(f"{name}_unmapped"))
     if on_unmapped == "error":
-        problem = F.raise_error(F.concat(F.lit("unknown target value: "), F.col(column).cast("string")))
+        problem = F.raise_error(F.concat(F.lit("unknown target value: "), quoted(column).cast("string")))
         return out.withColumn(name, F.when(F.col(f"{name}_unmapped"), problem.cast("int")).otherwise(F.col(name)))
     return out
 

@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loanlens import schema as S
+from loanlens.functions.names import quoted
 from loanlens.operators.ordered import running_totals
 
 
 def tall(df: DataFrame, columns: list[str], keep: list[str] = (), dtype: str = "double") -> DataFrame:
     """``(keep..., feature, value)`` rows, one per column."""
     pairs = F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").cast(dtype).alias("value")) for c in columns
+        F.struct(F.lit(c).alias("feature"), quoted(c).cast(dtype).alias("value")) for c in columns
     ])
     return df.select(*keep, F.inline(pairs))
 
@@ -219,8 +220,8 @@ def low_cardinality_counts(df: DataFrame, columns: list[str], below: int) -> dic
     A one-pass sketch rules out the wide columns (with a five-fold margin), so only columns of few
     values are counted exactly and nothing wide is shuffled.
     """
-    sketch = df.agg(*[F.approx_count_distinct(F.col(f"`{c}`")).alias(c) for c in columns]).first()
-    narrow = [c for c in columns if sketch[c] < 5 * below]
+    sketch = df.agg(*[F.approx_count_distinct(quoted(c)).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    narrow = [c for i, c in enumerate(columns) if sketch[f"c{i}"] < 5 * below]
     if not narrow:
         return {}
     exact = (

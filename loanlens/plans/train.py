@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loanlens import schema as S
+from loanlens.functions.names import quote, quoted
 from loanlens.operators import encode as E
 from loanlens.operators import evaluate as V
 from loanlens.operators import impute as I
@@ -23,6 +24,8 @@ from loanlens.session import materialize, shared_dir
 
 BOOSTED = {"maxIter": 100, "maxDepth": 6, "stepSize": 0.1, "seed": 42}
 FOREST = {"numTrees": 100, "seed": 42}
+#: Rows a leaf needs. Boosting libraries ask for a weight of 1, and a row of a logistic loss weighs at most 1/4.
+LEAST_ROWS = 4
 
 
 @dataclass
@@ -97,25 +100,72 @@ def prepare_features(df: DataFrame, keep: list[str] = (), categories: dict | Non
     return encoded, names
 
 
-def _scaling_stage(scaler: E.Scaler) -> SQLTransformer:
-    made = ", ".join(
-        f"(`{c}` - {scaler.mean[c]!r}D) / {scaler.std[c]!r}D AS `{c}__z`" for c in scaler.mean
-    )
-    return SQLTransformer(statement=f"SELECT *, {made} FROM __THIS__")
-
-
-def _drop_stage(columns: list[str]) -> SQLTransformer:
-    hidden = ", ".join(f"`{c}__z`" for c in columns)
-    return SQLTransformer(statement=f"SELECT * EXCEPT ({hidden}) FROM __THIS__")
-
-
-def fit_boosted_trees(train: DataFrame, features: list[str], label: str = "label", params: dict | None = None) -> PipelineModel:
-    """Scale, assemble and boost; the fitted pipeline holds scaler, feature order and trees."""
+@dataclass
+class Inputs:
+    """What a model reads of a raw frame: numbers with the fill of their nulls, and texts with their categories."""
+
+    numbers: dict[str, float]
+    texts: dict[str, list[str]]
+    upper: bool = False
+
+    @property
+    def features(self) -> list[str]:
+        return [*self.numbers, *(f"{c}_{v}" for c, vs in self.texts.items() for v in vs)]
+
+    def _text(self, column: str) -> str:
+        filled = f"coalesce(CAST({quote(column)} AS STRING), 'UNKNOWN')"
+        return f"upper({filled})" if self.upper else filled
+
+    def select(self, df: DataFrame, keep: list[str]) -> DataFrame:
+        """Filled inputs under the names ``n0, ...`` and ``t0, ...``, so that no name of the frame meets another rule."""
+        numbers = [F.coalesce(quoted(c).try_cast("double"), F.lit(fill)).alias(f"n{i}") for i, (c, fill) in enumerate(self.numbers.items())]
+        return df.select(*keep, *numbers, *[F.expr(self._text(c)).alias(f"t{i}") for i, c in enumerate(self.texts)])
+
+    def stages(self, train: DataFrame) -> list:
+        """Raw frame to ``features``: numbers filled and scaled, categories as one sparse block, scaled without centring.
+
+        The scales are those of ``train``. All helper columns go again.
+        """
+        places = [f"n{i}" for i in range(len(self.numbers))]
+        known = self.select(train, [])
+        scaler = E.Scaler.fit(known, places) if places else E.Scaler({}, {})
+        numbers = [
+            f"(coalesce(try_cast({quote(c)} AS DOUBLE), {fill!r}D) - ({scaler.mean[n]!r}D)) / {scaler.std[n]!r}D AS z{i}__z"
+            for i, (n, (c, fill)) in enumerate(zip(places, self.numbers.items()))
+        ]
+        marked = {f"t{i}__t": vs for i, vs in enumerate(self.texts.values())}
+        texts = [f"concat('=', {self._text(c)}) AS {t}" for c, t in zip(self.texts, marked)]
+        flags = E.flag_stages(marked, "flags__f")
+        read = SQLTransformer(statement="SELECT " + ", ".join(["*", *numbers, *texts]) + " FROM __THIS__")
+        made, blocks = [f"z{i}__z" for i in range(len(numbers))], []
+        if flags:
+            blocks = [StandardScaler(inputCol="flags__f", outputCol="scaled__f", withMean=False)]
+            made.append("scaled__f")
+        if not made:
+            raise ValueError("no feature: no numeric column, and no category that enough rows hold")
+        pipeline = Pipeline(stages=[read, *flags, *blocks, VectorAssembler(inputCols=made, outputCol="features")]).fit(train)
+        helpers = {*made, *marked} | ({"flags__f", *(f"{t}__{k}" for t, vs in marked.items() if vs for k in ("index", "flags"))} if flags else set())
+        return [*pipeline.stages, SQLTransformer(statement=f"SELECT * EXCEPT ({', '.join(sorted(helpers))}) FROM __THIS__")]
+
+
+def fit_inputs(df: DataFrame, numbers: list[str], texts: list[str], upper: bool = False, least: int = 1) -> Inputs:
+    """Medians of the numbers (0 without any) and sorted categories of the texts; null texts are ``UNKNOWN``."""
+    bare = Inputs(dict.fromkeys(numbers, 0.0), dict.fromkeys(texts, []), upper)
+    raw = df.select(*[quoted(c).try_cast("double").alias(f"n{i}") for i, c in enumerate(numbers)])
+    medians = I.train_medians(raw, raw.columns)
+    found = E.categories(bare.select(df, []), [f"t{i}" for i in range(len(texts))], least)
+    return Inputs({c: float(medians.get(f"n{i}", 0.0)) for i, c in enumerate(numbers)}, dict(zip(texts, found.values())), upper)
+
+
+def fit_boosted_trees(train: DataFrame, features: list[str] | Inputs, label: str = "label", params: dict | None = None) -> PipelineModel:
+    """Scale, assemble and boost; the fitted pipeline holds inputs, scales, feature order and trees.
+
+    ``features`` names numeric columns, or holds inputs of both kinds. Scaling changes no tree: a split keeps its rows.
+    """
     shared_dir(train.sparkSession)  # checkpoints of long boosting runs go to the shared folder
-    scaler = E.Scaler.fit(train, features)
-    assembler = VectorAssembler(inputCols=[f"{f}__z" for f in features], outputCol="features")
-    prepared = PipelineModel([_scaling_stage(scaler), assembler, _drop_stage(features)])
-    frame = prepared.transform(train).select("features", F.col(label).cast("double").alias(label))
+    inputs = features if isinstance(features, Inputs) else Inputs(dict.fromkeys(features, 0.0), {})
+    prepared = PipelineModel(inputs.stages(train))
+    frame = prepared.transform(train).select("features", quoted(label).cast("double").alias(label))
     frame = frame.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         trees = GBTClassifier(
@@ -164,35 +214,39 @@ def evaluate_model(scored: DataFrame, label: str = "label") -> dict:
     return {**metrics, "auc_roc": auc}
 
 
-def train_and_evaluate(frame: DataFrame, features: list[str], key: str, label: str, test_size: float = 0.2,
+def train_and_evaluate(frame: DataFrame, inputs: Inputs, key: str, label: str, test_size: float = 0.2,
                        seed: int = 42, params: dict | None = None, details: dict | None = None) -> Trained:
     """Stratified split, fit on the training part, metrics on the test part."""
     frame = frame.withColumn(label, F.col(label).cast("int"))
     divided = materialize(split_stratified(frame, key, label, test_size, seed), "training")
     train, test = divided.where(~F.col("is_test")), divided.where(F.col("is_test"))
     sizes = divided.agg(F.count_if(~F.col("is_test")).alias("train"), F.count_if("is_test").alias("test")).first()
-    model = fit_boosted_trees(train, features, label, {"seed": seed, **(params or {})})
+    model = fit_boosted_trees(train, inputs, label, {"seed": seed, "minInstancesPerNode": LEAST_ROWS, **(params or {})})
     metrics = evaluate_model(model.transform(test), label)
-    return Trained(model, features, metrics, sizes.train, sizes.test, details or {})
+    return Trained(model, inputs.features, metrics, sizes.train, sizes.test, details or {})
 
 
 def train_flexible(df: DataFrame, key: str, columns: dict | None = None, test_size: float = 0.2, seed: int = 42,
                    params: dict | None = None, store=None, on_unmapped: str = "zero") -> Trained:
-    """Train on any frame: find target and column kinds, prepare, fit, evaluate, and save if a store is given."""
+    """Train on any frame: find target and column kinds, prepare, fit, evaluate, and save if a store is given.
+
+    Names and categories may hold any characters, and categories have no limit: one that fewer rows hold than a leaf needs
+    (``LEAST_ROWS``) can split nothing and has no place in the vector. The model reads the raw frame. Missing numbers
+    take the median, missing texts ``UNKNOWN``. Trees bin every place for every row, so their memory grows with rows times
+    places.
+    """
     found = columns or E.detect_columns(df.drop(key))
     data = E.map_target(df, found["target"], "label__", on_unmapped).drop("label___unmapped")
     numbers, texts = found["numeric"], found["categorical"]
-    data = data.select(key, "label__", *[F.col(f"`{c}`") for c in (*numbers, *texts)])
-    data = materialize(I.to_numeric(data, numbers), "training")
-    data = I.impute_train_median(data, numbers, I.train_medians(data, numbers))
-    data = I.fill_residual_zero(I.impute_train_unknown(data, texts, upper=False), numbers)
-    encoded = E.one_hot_dynamic(data, E.categories(data, texts))
-    features = [c for c in encoded.columns if c not in (key, "label__")]
+    data = materialize(data.select(quoted(key), "label__", *[quoted(c) for c in (*numbers, *texts)]), "training")
+    least = (params or {}).get("minInstancesPerNode", LEAST_ROWS)
+    inputs = fit_inputs(data, numbers, texts, least=least)
+    features = inputs.features
     details = {
         "target_column": found["target"], "numeric_features": numbers, "categorical_features": texts,
         "feature_names": features, "n_features": len(features),
     }
-    result = train_and_evaluate(encoded, features, key, "label__", test_size, seed, params, details)
+    result = train_and_evaluate(data, inputs, key, "label__", test_size, seed, params, details)
     result.details["n_samples"] = result.train_rows + result.test_rows
     if store is not None:
         result.details["version"] = store.save(result.model, features, result.metrics, source="flexible_training")
@@ -213,8 +267,12 @@ def retrain(predictions: DataFrame, original: DataFrame | None = None, min_sampl
     if rows.isEmpty():
         raise ValueError("no training data: neither feedback rows nor an original dataset")
     rows = rows.withColumn("label__", F.col("loan_status"))
-    prepared, features = prepare_features(rows, ["row_key", "label__"])
-    result = train_and_evaluate(prepared, features, "row_key", "label__", test_size, params=params)
+    names = M.drop_targets(rows.drop("row_key", "label__")).columns
+    numbers = [c for c in numeric_columns(rows) if c in names]
+    least = (params or {}).get("minInstancesPerNode", LEAST_ROWS)
+    inputs = fit_inputs(rows, numbers, [c for c in names if c not in numbers], upper=True, least=least)
+    features = inputs.features
+    result = train_and_evaluate(rows, inputs, "row_key", "label__", test_size, params=params)
     version = None
     if store is not None:
         version = store.save(result.model, features, result.metrics, source="database_retraining")

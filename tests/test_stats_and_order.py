@@ -177,11 +177,6 @@ def test_unmapped_targets(spark):
         E.map_target(rows, "t", on_unmapped="error").collect()
 
 
-def test_too_many_categories_fail_loudly(spark):
-    with pytest.raises(ValueError, match="categories"):
-        E.categories(spark.range(50).select(F.col("id").cast("string").alias("c")), ["c"], limit=20)
-
-
 def test_quantiles_of_many_rows_use_narrow_brackets(spark, monkeypatch):
     rows = spark.range(50000).select(((F.col("id") * 7919) % 50000 / 3).alias("x"), (F.col("id") % 3).cast("double").alias("y"))
     want = {c: np.quantile([r[c] for r in rows.collect()], [0.1, 0.5]) for c in ("x", "y")}
