@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from loanlens import schema as S
 from loanlens.catalog import views as W
-from loanlens.catalog.io import _feedback_rows
+from loanlens.catalog.io import HISTORY_ALIASES, _feedback_rows
 from loanlens.catalog.registry import query, r6
 from loanlens.functions import text as X
 from loanlens.functions.risk import risk_tier
@@ -20,6 +20,7 @@ from loanlens.plans import train as M
 from loanlens.session import scratch_path
 from loanlens.sources import tables
 from loanlens.streaming import jobs
+from loanlens.streaming.journal import Journal
 
 FEATURES = S.model_features()
 NOW = datetime(2025, 1, 1)
@@ -244,16 +245,70 @@ def model_round_trip(spark, sf_dir):
     return again.select("application_id", (F.col("before") == F.col("probability_default")).alias("same_score"))
 
 
-@query("""SELECT application_id, CASE WHEN person_age > 100 OR person_age < 18 OR COALESCE(loan_percent_income > 1, FALSE)
-            THEN 'error' ELSE 'success' END AS status FROM apps""", "apps")
+@query("""SELECT row_number() OVER (ORDER BY application_id % 2, application_id) AS application_id, application_id AS source_id, person_age,
+            loan_amnt, home_ownership, 'approved' AS application_status, loan_status AS actual_outcome, application_id % 2 AS batch,
+            CASE WHEN person_age > 100 OR person_age < 18 OR COALESCE(loan_percent_income > 1, FALSE) THEN 'error' ELSE 'success' END AS status
+          FROM apps""", "apps")
 def stream_import_and_score(spark, sf_dir):
-    """Files of applications scored as a stream; status per row of what the sink received."""
-    source, target, state = (scratch_path(spark, n) for n in ("incoming", "scored", "state"))
-    W.applications(spark, sf_dir).write.parquet(source)
-    schema = spark.read.parquet(source).schema
-    job = jobs.stream_import_and_score(spark, source, schema, scorer(spark, sf_dir), target, state)
-    job.awaitTermination()
-    return spark.read.parquet(target).select("application_id", "status")
+    """History files with foreign headers, imported and scored in two starts of one stream: both tables, joined by id."""
+    source, root = scratch_path(spark, "incoming"), scratch_path(spark, "imported")
+    rows = W.applications(spark, sf_dir).withColumnsRenamed(HISTORY_ALIASES)
+    for part in (0, 1):
+        rows.where(F.col("application_id") % 2 == part).write.mode("append").parquet(source)
+        job = jobs.stream_import_and_score(spark, source, rows.schema, scorer(spark, sf_dir), root, ["application_id"])
+        job.awaitTermination()
+    journal = Journal(spark, root)
+    columns = ["person_age", "loan_amnt", "home_ownership", "application_status"]
+    stored = journal.read("applications").select("id", F.col("application_id").cast("long").alias("source_id"), *columns)
+    scored = journal.read("predictions").select(F.col("application_id").alias("id"), "status", "actual_outcome", "batch")
+    return stored.join(scored, "id").withColumnRenamed("id", "application_id")
+
+
+def _request_stream(spark, sf_dir):
+    schema = W.table(spark, sf_dir, "events").schema
+    # a pattern, because a stream source takes folders and patterns but no single file
+    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
+    return events.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("provider"))
+
+
+def _closed(spark, start, *times):
+    """Run a window job on what is there, then once more with the log closed."""
+    target, state, closing = (scratch_path(spark, n) for n in ("counts", "state", "closing"))
+    for end in (False, True):
+        if end:
+            jobs.close_windows(spark, closing)
+        start(target, state, closing).awaitTermination()
+    return spark.read.parquet(target).withColumns({c: F.col(c).cast("timestamp_ntz") for c in times})
+
+
+@query("""SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end, provider, count(*) AS n
+          FROM reqlog GROUP BY ALL""", "reqlog")
+def stream_all_request_counts(spark, sf_dir):
+    """Hourly counts of a log that has ended: every window, those still open before included."""
+    log = _request_stream(spark, sf_dir)
+    return _closed(spark, lambda *to: jobs.stream_request_counts(log, *to[:2], closing=to[2]), "window_start", "window_end")
+
+
+@query("""WITH starts AS (SELECT provider, ts, coalesce(ts - lag(ts) OVER (PARTITION BY provider ORDER BY ts) >= INTERVAL 30 MINUTE, TRUE) AS first FROM reqlog),
+            sessions AS (SELECT provider, ts, sum(first::INTEGER) OVER (PARTITION BY provider ORDER BY ts) AS session FROM starts)
+          SELECT min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, provider, count(*) AS n FROM sessions GROUP BY provider, session""", "reqlog")
+def stream_request_sessions(spark, sf_dir):
+    """Sessions of a log that has ended: requests of a provider less than half an hour apart."""
+    log = _request_stream(spark, sf_dir)
+    return _closed(spark, lambda *to: jobs.stream_request_sessions(log, *to[:2], closing=to[2]), "session_start", "session_end")
+
+
+@query("""SELECT id, provider, model, row_number() OVER (PARTITION BY provider, model ORDER BY ts, id) AS session_count FROM reqlog""", "reqlog")
+def stream_running_request_count(spark, sf_dir):
+    """Running numbers of a log that arrives in two parts, numbered by two starts of one stream."""
+    source, root = scratch_path(spark, "incoming"), scratch_path(spark, "numbered")
+    rows = W.request_log(spark, sf_dir).select("id", "ts", "provider", "model")
+    middle = rows.agg(((F.min(F.unix_micros(F.col("ts").cast("timestamp"))) + F.max(F.unix_micros(F.col("ts").cast("timestamp")))) / 2).cast("long").alias("m")).first().m
+    first = F.unix_micros(F.col("ts").cast("timestamp")) <= middle
+    for part in (first, ~first):
+        rows.where(part).write.mode("append").parquet(source)
+        jobs.stream_running_counts(spark.readStream.schema(rows.schema).parquet(source), root).awaitTermination()
+    return jobs.running_request_counts(Journal(spark, root)).drop("ts")
 
 
 @query("""SELECT window_start, window_start + INTERVAL 1 HOUR AS window_end, provider, count(*) AS n FROM (
@@ -262,10 +317,7 @@ def stream_import_and_score(spark, sf_dir):
           GROUP BY ALL""", "reqlog")
 def stream_request_counts(spark, sf_dir):
     """Hourly counts of the request log as a stream; windows the watermark has closed."""
-    schema = W.table(spark, sf_dir, "events").schema
-    # a pattern, because a stream source takes folders and patterns but no single file
-    events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
-    log = events.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("provider"))
+    log = _request_stream(spark, sf_dir)
     target, state = scratch_path(spark, "counts"), scratch_path(spark, "state")
     jobs.stream_request_counts(log, target, state).awaitTermination()
     counts = spark.read.parquet(target)

@@ -25,14 +25,19 @@ def link_ids(df: DataFrame, order: list[str], last_id: int = 0, blocks: int | No
     return with_row_index(df, order, "id", last_id + 1, blocks)
 
 
+def stored_history(df: DataFrame, order: list[str], mapping: dict | None = None, last_id: int = 0) -> DataFrame:
+    """The rows of a history file under the names of the application table, numbered after ``last_id``."""
+    rows = M.nan_to_null(M.rename_aliases(M.normalize_columns(df), mapping))
+    return link_ids(rows.withColumn("application_status", F.lit("approved")), order, last_id)
+
+
 def import_history(df: DataFrame, order: list[str], mapping: dict | None = None, last_id: int = 0,
                    now=None) -> tuple[DataFrame, DataFrame]:
     """``(applications, predictions)`` of a history file.
 
     ``order`` names columns, after mapping, that give the rows their id order.
     """
-    rows = M.nan_to_null(M.rename_aliases(M.normalize_columns(df), mapping))
-    stored = link_ids(rows.withColumn("application_status", F.lit("approved")), order, last_id)
+    stored = stored_history(df, order, mapping, last_id)
     features = [c for c in stored.columns if c not in S.TARGETS and c not in ("id",)]
     packed = M.pack_features(coerce_outcome(stored), features, keep_nulls=True)
     stamp = F.lit(now).cast("timestamp_ntz") if now is not None else F.current_timestamp().cast("timestamp_ntz")

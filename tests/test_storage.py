@@ -99,19 +99,3 @@ def test_sliding_windows_count_each_request_once_per_window(spark):
     tumbling = request_counts(log, "1 hour").agg(F.sum("n")).first()[0]
     sliding = request_counts(log, "1 hour", "30 minutes").agg(F.sum("n")).first()[0]
     assert (tumbling, sliding) == (60, 120)
-
-
-def test_two_streams_continue_from_the_checkpoint(spark, small):
-    from loanlens.catalog import modeling, views
-    from loanlens.streaming import jobs
-
-    scorer = modeling.scorer(spark, small)
-    source, target, state = (scratch_path(spark, n) for n in ("in", "out", "state"))
-    rows = views.applications(spark, small)
-    for part in (0, 1):
-        rows.where(F.col("application_id") % 2 == part).coalesce(1).write.mode("append").parquet(source)
-        jobs.stream_import_and_score(spark, source, rows.schema, scorer, target, state).awaitTermination()
-    got = spark.read.parquet(target)
-    want = jobs.score_stream(rows, scorer)
-    assert got.count() == rows.count()
-    assert got.exceptAll(want).count() == 0
