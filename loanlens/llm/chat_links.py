@@ -1,14 +1,14 @@
 """Tool-call linking for chat data, by DataFrame operations only.
 
 Calls and results meet by identifier in a hash join. Calls are ordered topologically: a call's level is one
-more than the highest level among the calls it depends on. Arguments are checked against the tool's schema, and
+more than the highest level among the calls it depends on; chains are halved each round. Arguments are checked against the tool's schema, and
 each linked call becomes canonical JSON: keys sorted, no white space, numbers in their shortest form.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loanlens.session import materialize
+from loanlens.session import materialize, scratch_path
 
 #: A tool's schema: argument name -> (JSON type, required). Types: string, number, boolean, object, array.
 Schemas = dict[str, dict[str, tuple[str, bool]]]
@@ -48,27 +48,58 @@ def problems(tool: Column, arguments: Column, schemas: Schemas) -> Column:
 def levels(calls: DataFrame) -> DataFrame:
     """``call_id`` and ``level`` of calls ``(call_id, depends_on array<string>)``; null level: on or behind a cycle.
 
-    Kahn's algorithm on tables: each round settles the calls whose open dependencies are all settled. A
-    dependency on a call that is not there counts as settled. Rounds are as many as the longest chain of calls.
+    Each round settles the calls without open dependencies (Kahn's rule) and shortens all chains by half: a dependency on
+    a call that itself waits for one call only is replaced by that one, with the sum of their distances. So rounds grow
+    with the logarithm of a chain's length, and one by one only where calls with several open dependencies follow each
+    other. A distance of as many steps as there are calls is a cycle. A dependency on a call that is not there counts as
+    settled. Each round is written, and its plan reads written tables only.
     """
-    nodes = materialize(calls.select("call_id").where("call_id is not null").distinct(), "calls")
-    edges = calls.select("call_id", F.explode("depends_on").alias("needs")).where("call_id is not null and needs is not null").distinct()
-    edges = materialize(edges.join(nodes.select(F.col("call_id").alias("needs")), "needs", "left_semi"), "needs")
-    level, done, open_nodes, open_edges = 0, [], nodes, edges
-    while not open_nodes.isEmpty():
-        free = materialize(open_nodes.join(open_edges, "call_id", "left_anti").withColumn("level", F.lit(level)), "free")
-        if free.isEmpty():
-            done.append(open_nodes.withColumn("level", F.lit(None).cast("int")))
+    spark = calls.sparkSession
+    named = calls.where("call_id is not null")
+    waiting = materialize(named.select("call_id", F.lit(0).cast("long").alias("base")).distinct(), "calls")
+    edges = named.select("call_id", F.explode("depends_on").alias("needs")).where("needs is not null").distinct()
+    edges = edges.join(waiting.select(F.col("call_id").alias("needs")), "needs", "left_semi").select("call_id", "needs", F.lit(1).cast("long").alias("steps"))
+    total, folder = waiting.count(), scratch_path(spark, "levels")
+
+    def settle(rows: DataFrame, level: Column) -> None:
+        rows.select("call_id", level.cast("int").alias("level")).write.mode("append").parquet(folder)
+
+    free, least = waiting.limit(0), waiting.limit(0)
+    while True:
+        # dependencies settled in the round before become a lower bound
+        bound = free.select(F.col("call_id").alias("needs"), F.col("base").alias("settled"))
+        met = edges.join(bound, "needs", "left").select(
+            "call_id", F.when(F.col("settled").isNull(), F.col("needs")).alias("needs"), "steps", (F.col("steps") + F.col("settled")).alias("base")
+        )
+        met = materialize(met, "met")
+        least = least.unionByName(met.where("base is not null").select("call_id", "base")).groupBy("call_id").agg(F.max("base").alias("least"))
+        edges = met.where("needs is not null").select("call_id", "needs", "steps")
+        ends = edges.groupBy("call_id").agg(F.count(F.lit(1)).alias("n"), F.max("needs").alias("next"), F.max("steps").alias("on"))
+        state = waiting.join(least, "call_id", "left").join(ends, "call_id", "left").fillna(0, ["n"])
+        state = materialize(state.withColumn("base", F.greatest("base", "least")).drop("least"), "waiting")
+        free, left = state.where("n = 0").select("call_id", "base"), state.where("n > 0").select("call_id", "base")
+        settle(free, F.col("base"))
+        count = state.agg(F.count_if(F.col("n") == 0).alias("free"), F.count_if(F.col("n") > 0).alias("left")).first()
+        if not count["left"]:
             break
-        done.append(free)
-        ids = free.select("call_id")
-        open_nodes = materialize(open_nodes.join(ids, "call_id", "left_anti"), "open")
-        open_edges = materialize(open_edges.join(ids.withColumnRenamed("call_id", "needs"), "needs", "left_anti"), "needs")
-        level += 1
-    out = nodes.withColumn("level", F.lit(0)).limit(0)
-    for part in done:
-        out = out.unionByName(part)
-    return out
+        # a dependency on a call with one dependency of its own passes on to that one
+        seen = state.select(F.col("call_id").alias("needs"), F.col("base").alias("reached"), "n", "next", "on")
+        one = F.col("n") == 1
+        steps = F.when(one, F.col("steps") + F.col("on")).otherwise(F.col("steps"))
+        moved = edges.join(seen, "needs", "left").select(
+            "call_id", F.when(one, F.col("next")).otherwise(F.col("needs")).alias("needs"), steps.alias("steps"),
+            F.when(one, F.col("steps") + F.col("reached")).alias("base"), (F.col("n").isNull() | (steps >= total)).alias("lost"),
+        )
+        moved = materialize(moved, "moved")
+        if not count["free"] and moved.where("base is not null or lost").isEmpty():
+            settle(left, F.lit(None))  # only cycles of calls with several dependencies are left, and what waits for them
+            break
+        lost = materialize(moved.where("lost").select("call_id").distinct(), "lost")
+        settle(lost, F.lit(None))
+        waiting = left.join(lost, "call_id", "left_anti")
+        least = moved.where("base is not null").select("call_id", "base")
+        edges = moved.groupBy("call_id", "needs").agg(F.max("steps").alias("steps")).join(lost, "call_id", "left_anti")
+    return spark.read.schema("call_id string, level int").parquet(folder)
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
@@ -78,7 +109,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
     ``content``. Other columns are not read. Result: ``call_id``, ``tool``, ``level``, ``status`` (``linked``, ``no result``,
     ``no call``), ``n_results``, ``problems`` and ``json``. Of several results of an identifier the smallest is
     linked and all are counted; calls with equal identifiers keep their rows. Null identifiers link with
-    nothing and keep their rows. Empty tables give no rows.
+    nothing and keep their rows. Texts of any length pass whole. Empty tables give no rows.
     """
     wanted = calls.select("call_id", "tool", "arguments", "depends_on")
     ordered = wanted.join(levels(wanted), "call_id", "left").withColumn("is_call", F.lit(True))
