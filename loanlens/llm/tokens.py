@@ -7,6 +7,7 @@ chunks in order. Chunks repeat; the ids of each are kept, up to a bound.
 import re
 from array import array
 from functools import cache
+from os.path import commonprefix
 
 #: Chunks and words whose ids a task keeps; then it starts over.
 KEPT_CHUNKS, KEPT_WORDS = 450_000, 250_000
@@ -43,16 +44,17 @@ class _Kept(dict):
 
 
 class Encoder:
-    """``encode(text)`` gives the ids as little-endian unsigned 32-bit integers.
+    """``encode(text)`` gives the ids as little-endian unsigned 32-bit integers: those of the library's plain call.
 
-    Strings of special tokens in a text are ordinary text.
+    Strings of special tokens in a text are their tokens, as in that call; such texts are encoded whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        #: What all strings of special tokens begin with; "" (in every text) if they have nothing in common.
+        self.mark = commonprefix([t.content for t in self.tokenizer.get_added_tokens_decoder().values()] or ["\0"])
         self.model, self.lower = self.tokenizer.model, self.tokenizer.normalizer is not None
         self.letters = _byte_letters()
         self.words = _Kept(self._word, KEPT_WORDS)
@@ -77,7 +79,7 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if _ODD_SPACE.search(text):
+        if self.mark in text or _ODD_SPACE.search(text):
             return self._whole(text)
         chunk = self.chunks.__getitem__
         if self.lower:  # a normalising tokenizer drops white space
