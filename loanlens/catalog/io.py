@@ -45,6 +45,19 @@ def read_csv_chunked(spark, sf_dir):
     return read.withColumn("application_id", F.col("application_id").cast("bigint"))
 
 
+@query("""SELECT application_id, CASE WHEN application_id % 3 < 2 THEN person_age END AS person_age, person_income, loan_amnt, home_ownership,
+            loan_grade, default_on_file, loan_status FROM apps""", "apps")
+def read_csv_layouts(spark, sf_dir):
+    """Uploads with three headers (other order, other names, a column less) as one table."""
+    apps, folder = W.applications(spark, sf_dir), scratch_path(spark, "uploads")
+    columns = ["application_id", *HISTORY_ALIASES, "loan_grade"]
+    apps = apps.select(*columns)
+    layouts = [apps.select(*reversed(columns)), apps.withColumnsRenamed(HISTORY_ALIASES), apps.drop("person_age")]
+    for i, rows in enumerate(layouts):
+        rows.where(F.col("application_id") % 3 == i).write.option("header", True).mode("append").csv(folder)
+    return files.read_applications_csv(spark, folder, names=files.canonical_names).withColumn("application_id", F.col("application_id").cast("bigint"))
+
+
 @query("""SELECT application_id, person_income, person_emp_length, loan_amnt FROM apps
           WHERE person_income IS NOT NULL OR person_emp_length IS NOT NULL OR loan_amnt IS NOT NULL""", "apps")
 def drop_blank_rows(spark, sf_dir):

@@ -37,10 +37,14 @@ def _trained(app_id, spark, sf_dir):
     return M.fit_boosted_trees(train, FEATURES, "loan_status")
 
 
+@lru_cache(maxsize=8)
+def _scorer(app_id, spark, sf_dir):
+    return P.Scorer(_trained(app_id, spark, sf_dir), FEATURES, W.fill_values(spark, sf_dir), "v1")
+
+
 def scorer(spark, sf_dir) -> P.Scorer:
     """A model fitted once per session and data set."""
-    model = _trained(spark.sparkContext.applicationId, spark, sf_dir)
-    return P.Scorer(model, FEATURES, W.fill_values(spark, sf_dir), "v1")
+    return _scorer(spark.sparkContext.applicationId, spark, sf_dir)
 
 
 def _metric_rows(spark, metrics: dict):
@@ -138,7 +142,7 @@ def shap_values(spark, sf_dir):
     """Per application: sum of contributions plus base, and the model's own log-odds."""
     fitted = scorer(spark, sf_dir)
     rows = P.score(_encoded(spark, sf_dir), fitted.model)
-    explained = explain.shap_values(rows, fitted.model.stages[-1], FEATURES)
+    explained = fitted.explainer(spark).explain(rows, FEATURES)
     total = F.aggregate(F.map_values("shap_values"), F.col("expected_value"), lambda a, v: a + v)
     odds = F.log(F.col("probability_default") / (1 - F.col("probability_default")))
     return explained.select("application_id", r6(total).alias("explained_log_odds"), r6(odds).alias("model_log_odds"))
@@ -174,53 +178,75 @@ def score_batch_rows(spark, sf_dir):
     return rows.select("application_id", "status", F.size("imputation_log").alias("imputed_fields"))
 
 
-# A stand-in for contributions that SQL can state: each value's distance from a fixed centre.
-_CENTRES = {"person_age": 60, "person_emp_length": 20, "loan_int_rate": 11, "cb_person_cred_hist_length": 3}
-_CONTRIB_SQL = " UNION ALL ".join(
-    f"SELECT application_id, '{c}' AS feature, ({c} - {v}) / CAST(10 AS DOUBLE) AS value FROM imputed" for c, v in _CENTRES.items()
-)
+def _explained(spark, sf_dir):
+    """Every labelled application with the model's own contributions of all features."""
+    fitted = scorer(spark, sf_dir)
+    rows = W.imputed(spark, sf_dir).where("loan_status IS NOT NULL").withColumn("applicant", F.struct(*S.CANONICAL))
+    encoded = E.encode_for_model(rows, FEATURES, ["application_id", "applicant"])
+    return fitted.explainer(spark).explain(P.score(encoded, fitted.model), FEATURES)
 
 
-def _contributions(spark, sf_dir):
-    entries = [x for c, v in _CENTRES.items() for x in (F.lit(c), (F.col(c) - v) / 10)]
-    return W.imputed(spark, sf_dir).select("application_id", "loan_amnt", F.create_map(*entries).alias("shap_values"))
+def _sizes():
+    return F.transform(F.map_values("shap_values"), lambda v: F.abs(v))
 
 
-@query(f"""SELECT application_id, CAST(rn AS INTEGER) AS place, feature, round(value, 6) AS value FROM (
-    SELECT *, row_number() OVER (PARTITION BY application_id ORDER BY abs(value) DESC, feature) AS rn FROM ({_CONTRIB_SQL}))
-    WHERE rn <= 3""", "imputed")
+@query("""SELECT application_id, unnest(range(1, 6))::INTEGER AS place, TRUE AS of_model, TRUE AS as_explained, TRUE AS in_place FROM apps
+          WHERE loan_status IS NOT NULL""", "apps")
 def top_contributors(spark, sf_dir):
-    rows = _contributions(spark, sf_dir)
-    top = rows.select("application_id", F.posexplode(explain.top_contributors(F.col("shap_values"), 3)).alias("place", "e"))
-    return top.select("application_id", (F.col("place") + 1).alias("place"), "e.feature", r6("e.value").alias("value"))
+    """The five strongest contributions, with checks: a feature of the model, its own value, and as many stronger ones as its place says."""
+    rows = _explained(spark, sf_dir)
+    top = rows.select("application_id", "shap_values", F.posexplode(explain.top_contributors(F.col("shap_values"), 5)).alias("at", "e"))
+    size = F.abs("e.value")
+    before = F.filter(
+        F.map_entries("shap_values"), lambda x: (F.abs(x["value"]) > size) | ((F.abs(x["value"]) == size) & (x["key"] < F.col("e.feature")))
+    )
+    return top.select(
+        "application_id", (F.col("at") + 1).alias("place"), F.col("e.feature").isin(FEATURES).alias("of_model"),
+        (F.element_at("shap_values", F.col("e.feature")) == F.col("e.value")).alias("as_explained"), (F.size(before) == F.col("at")).alias("in_place"),
+    )
 
 
-@query(f"""SELECT application_id, round(sum(CASE WHEN value > 0 THEN value ELSE 0 END), 6) AS positive,
-      round(sum(CASE WHEN value < 0 THEN -value ELSE 0 END), 6) AS negative, round(max(abs(value)), 6) AS max_abs
-    FROM ({_CONTRIB_SQL}) GROUP BY application_id""", "imputed")
+@query("SELECT application_id, 22 AS features, TRUE AS adds_up, TRUE AS top_adds_up, TRUE AS greatest FROM apps WHERE loan_status IS NOT NULL", "apps")
 def contribution_totals(spark, sf_dir):
-    rows = _contributions(spark, sf_dir)
-    totals = rows.select(
-        "application_id", explain.contribution_totals(explain.top_contributors(F.col("shap_values"), 6)).alias("t")
+    """Totals over all features make the model's log-odds; those over the six strongest hold the six largest sizes."""
+    rows = _explained(spark, sf_dir)
+    every, top = (explain.contribution_totals(explain.top_contributors(F.col("shap_values"), k)) for k in (len(FEATURES), 6))
+    p = F.col("probability_default")
+    odds = F.log(p / (1 - p))
+    largest = F.slice(F.sort_array(_sizes(), asc=False), 1, 6)
+    six = F.aggregate(largest, F.lit(0.0), lambda a, v: a + v)
+    out = rows.select("application_id", F.size("shap_values").alias("features"), "expected_value", odds.alias("odds"), largest.alias("largest"), six.alias("six"), every.alias("every"), top.alias("top"))
+    return out.select(
+        "application_id", "features", (F.abs(F.col("every.positive") - F.col("every.negative") + F.col("expected_value") - F.col("odds")) < 1e-5).alias("adds_up"),
+        (F.abs(F.col("top.positive") + F.col("top.negative") - F.col("six")) < 1e-9).alias("top_adds_up"),
+        ((F.col("top.max_abs") == F.element_at("largest", 1)) & (F.col("every.max_abs") == F.col("top.max_abs"))).alias("greatest"),
     )
-    return totals.select("application_id", *[r6(f"t.{c}").alias(c) for c in ("positive", "negative", "max_abs")])
 
 
-@query(f"""WITH top AS (SELECT application_id, string_agg(feature, ', ' ORDER BY rn) AS names FROM (
-      SELECT *, row_number() OVER (PARTITION BY application_id ORDER BY abs(value) DESC, feature) AS rn FROM ({_CONTRIB_SQL}))
-      GROUP BY application_id)
-    SELECT i.application_id, 'Explain this loan decision to the applicant in one short paragraph.' || chr(10) || 'Decision: '
-      || CASE WHEN i.person_age > 60 THEN '{S.HIGH_RISK}' ELSE '{S.LOW_RISK}' END || chr(10) || 'Strongest contributions: ' || names
-      || chr(10) || 'Applicant: ' || home_ownership || ', ' || loan_intent AS prompt
-    FROM imputed i JOIN top ON top.application_id = i.application_id""", "imputed")
+_APPLICANT_SQL = " || ', ' || ".join(
+    f"'{c}: ' || " + (f"CAST(CAST(floor({c} * 100) / 100 AS DECIMAL(18, 2)) AS VARCHAR)" if c in S.NUMERIC else c) for c in S.CANONICAL
+)
+
+
+@query(f"""SELECT application_id, 'Explain this loan decision to the applicant in one short paragraph.' AS request, TRUE AS decided, TRUE AS strongest,
+             {_APPLICANT_SQL} AS applicant FROM imputed WHERE loan_status IS NOT NULL""", "imputed")
 def explanation_prompt(spark, sf_dir):
-    """The request text, without any call."""
-    rows = W.imputed(spark, sf_dir)
-    entries = [x for c, v in _CENTRES.items() for x in (F.lit(c), (F.col(c) - v) / 10)]
-    names = F.array_join(F.transform(explain.top_contributors(F.create_map(*entries), 5), lambda e: e["feature"]), ", ")
-    tier = F.when(F.col("person_age") > 60, S.HIGH_RISK).otherwise(S.LOW_RISK)
-    applicant = F.concat_ws(", ", "home_ownership", "loan_intent")
-    return rows.select("application_id", X.explanation_prompt(tier, names, applicant).alias("prompt"))
+    """The parts of the request text: decision by the score, the five strongest features, the whole applicant record. No call is made."""
+    rows = _explained(spark, sf_dir)
+    fields = [
+        F.concat(F.lit(f"{c}: "), ((F.floor(F.col(f"applicant.{c}") * 100) / 100).cast("decimal(18,2)") if c in S.NUMERIC else F.col(f"applicant.{c}")).cast("string")) for c in S.CANONICAL
+    ]
+    names = F.array_join(F.transform(explain.top_contributors(F.col("shap_values"), 5), lambda e: e["feature"]), ", ")
+    tier = risk_tier(F.col("probability_default"))
+    prompt = X.explanation_prompt(tier, names, F.concat_ws(", ", *fields))
+    lines = rows.select("application_id", tier.alias("tier"), "shap_values", F.split(prompt, "\n").alias("line"))
+    sizes = F.sort_array(_sizes(), asc=False)
+    told = F.split(F.regexp_replace(F.element_at("line", 3), "^Strongest contributions: ", ""), ", ")
+    found = F.transform(told, lambda f: F.abs(F.element_at("shap_values", f)))
+    return lines.select(
+        "application_id", F.element_at("line", 1).alias("request"), (F.element_at("line", 2) == F.concat(F.lit("Decision: "), "tier")).alias("decided"),
+        (found == F.slice(sizes, 1, 5)).alias("strongest"), F.regexp_replace(F.element_at("line", 4), "^Applicant: ", "").alias("applicant"),
+    )
 
 
 @query("""SELECT application_id, 'dynamic' AS model_type, 'v1' AS model_version, TIMESTAMP '2025-01-01' AS created_at

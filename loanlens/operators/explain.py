@@ -2,8 +2,8 @@
 
 Path-dependent Shapley values: within one leaf only the features on its path matter, and each of
 them either sends the row on or not. The contribution of a leaf therefore depends on a bit pattern
-over at most ``depth`` features. The contributions of every pattern are tabulated once per model
-(size bounded by the model), then rows only need comparisons and look-ups.
+over at most ``depth`` features. Short paths are tabulated once per model, up to a bound in bytes; for the others
+the weights along the path are worked out for the patterns that the rows at hand have, each once per batch.
 """
 
 from dataclasses import dataclass
@@ -19,7 +19,8 @@ from pyspark.sql import types as T
 from loanlens.session import scratch_path
 
 
-MAX_TABLE_FEATURES = 10
+#: Most memory for tabulated contributions of a model, short paths first.
+TABLE_BYTES = 64 << 20
 
 
 @dataclass
@@ -27,7 +28,7 @@ class Leaf:
     features: list[int]  # path features; position = bit in the pattern
     fractions: list[float]  # share of training rows that go on, per path feature
     value: float
-    table: np.ndarray | None  # [position on path, pattern] -> contribution; None if the path is long
+    table: np.ndarray | None = None  # [position on path, pattern] -> contribution; None if there is no room for it
 
 
 @dataclass
@@ -61,20 +62,35 @@ def path_contributions(holds: np.ndarray, fractions: list[float], value: float)
     return out
 
 
-def _pattern_table(fractions: list[float], value: float) -> np.ndarray | None:
-    d = len(fractions)
-    if d > MAX_TABLE_FEATURES:
-        return None
-    patterns = np.arange(1 << d)
-    return path_contributions(np.array([(patterns >> j) & 1 for j in range(d)]).reshape(d, -1), fractions, value)
+def _holds(patterns: np.ndarray, d: int) -> np.ndarray:
+    """Bits of the patterns, one row per path feature."""
+    return (patterns[None] >> np.arange(d)[:, None]) & 1
+
+
+def _leaves(node: "Split | Leaf"):
+    if isinstance(node, Leaf):
+        yield node
+    else:
+        yield from _leaves(node.left)
+        yield from _leaves(node.right)
+
+
+def _tabulate(trees: list["Split | Leaf"]) -> None:
+    """Tables of the shortest paths, as far as ``TABLE_BYTES`` reach."""
+    room = TABLE_BYTES
+    for leaf in sorted((leaf for t in trees for leaf in _leaves(t)), key=lambda leaf: len(leaf.features)):
+        d = len(leaf.features)
+        room -= 8 * d << d
+        if room < 0:
+            break
+        leaf.table = path_contributions(_holds(np.arange(1 << d), d), leaf.fractions, leaf.value)
 
 
 def _tree(nodes: dict, weight: float) -> Split | Leaf:
     def build(i: int, path: dict) -> Split | Leaf:
         node = nodes[i]
         if node["leftChild"] < 0:
-            fractions, value = list(path.values()), weight * node["prediction"]
-            return Leaf(list(path), fractions, value, _pattern_table(fractions, value))
+            return Leaf(list(path), list(path.values()), weight * node["prediction"])
         feature, cut = node["split"]["featureIndex"], node["split"]["leftCategoriesOrThreshold"][0]
         below = [
             build(child, {**path, feature: path.get(feature, 1.0) * nodes[child]["rawCount"] / node["rawCount"]})
@@ -95,7 +111,9 @@ def model_trees(spark, model) -> list[Split | Leaf]:
         trees.setdefault(r["treeID"], {})[r["nodeData"]["id"]] = r["nodeData"].asDict(recursive=True)
     weights = list(model.treeWeights)
     # the model's margin is half the log-odds
-    return [_tree(trees[t], 2.0 * weights[t]) for t in sorted(trees)]
+    out = [_tree(trees[t], 2.0 * weights[t]) for t in sorted(trees)]
+    _tabulate(out)
+    return out
 
 
 def expected_value(trees: list[Split | Leaf]) -> float:
@@ -117,8 +135,8 @@ def contributions(trees: list[Split | Leaf], x: np.ndarray) -> np.ndarray:
 
     def add(leaf: Leaf, pattern: np.ndarray) -> None:
         if leaf.table is None:
-            holds = np.array([(pattern >> j) & 1 for j in range(len(leaf.features))])
-            parts = path_contributions(holds, leaf.fractions, leaf.value)
+            met, place = np.unique(pattern, return_inverse=True)
+            parts = path_contributions(_holds(met, len(leaf.features)), leaf.fractions, leaf.value)[:, place]
         else:
             parts = leaf.table.take(pattern, axis=1, mode="clip")
         for j, f in enumerate(leaf.features):
@@ -137,25 +155,34 @@ def contributions(trees: list[Split | Leaf], x: np.ndarray) -> np.ndarray:
     return out.T
 
 
+class Explainer:
+    """A model's trees, read and sent to the executors once, for any number of frames."""
+
+    def __init__(self, spark, model):
+        trees = model_trees(spark, model)
+        self.base, self.shared = float(expected_value(trees)), spark.sparkContext.broadcast(trees)
+
+    def explain(self, df: DataFrame, features: list[str], vector: str = "features", name: str = "shap_values") -> DataFrame:
+        """Add ``shap_values`` (feature -> log-odds contribution) and ``expected_value``."""
+        shared = self.shared
+
+        @F.pandas_udf(T.ArrayType(T.DoubleType()))
+        def explain(rows: pd.Series) -> pd.Series:
+            if not len(rows):
+                return pd.Series([], dtype=object)
+            return pd.Series(list(contributions(shared.value, np.stack(rows.to_numpy()))))
+
+        keys = F.array(*[F.lit(f) for f in features])
+        return df.withColumns({
+            name: F.map_from_arrays(keys, explain(vector_to_array(F.col(vector)))),
+            "expected_value": F.lit(self.base),
+        })
+
+
 def shap_values(df: DataFrame, model, features: list[str], vector: str = "features",
                 name: str = "shap_values") -> DataFrame:
-    """Add ``shap_values`` (feature -> log-odds contribution) and ``expected_value``."""
-    spark = df.sparkSession
-    trees = model_trees(spark, model)
-    shared = spark.sparkContext.broadcast(trees)
-    base = float(expected_value(trees))
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def explain(rows: pd.Series) -> pd.Series:
-        if not len(rows):
-            return pd.Series([], dtype=object)
-        return pd.Series(list(contributions(shared.value, np.stack(rows.to_numpy()))))
-
-    keys = F.array(*[F.lit(f) for f in features])
-    return df.withColumns({
-        name: F.map_from_arrays(keys, explain(vector_to_array(F.col(vector)))),
-        "expected_value": F.lit(base),
-    })
+    """``Explainer.explain`` for one frame."""
+    return Explainer(df.sparkSession, model).explain(df, features, vector, name)
 
 
 def top_contributors(shap: Column, k: int = 5) -> Column:

@@ -1,10 +1,10 @@
 """Bulk scoring: validate, impute, encode, score, tier, drift, in one plan."""
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loanlens import schema as S
@@ -26,6 +26,13 @@ class Scorer:
     features: list[str]
     fill: FillValues
     version: str = "unversioned"
+    _explainer: X.Explainer | None = field(default=None, init=False, repr=False, compare=False)
+
+    def explainer(self, spark: SparkSession) -> X.Explainer:
+        """Built at the first explanation and kept."""
+        if self._explainer is None:
+            self._explainer = X.Explainer(spark, self.model.stages[-1])
+        return self._explainer
 
 
 def score(encoded: DataFrame, model: PipelineModel) -> DataFrame:
@@ -59,7 +66,7 @@ def score_batch(applications: DataFrame, scorer: Scorer, key: str = "application
     encoded = encode_for_model(rows, scorer.features, carried)
     scored = score(encoded, scorer.model)
     if explain:
-        scored = X.shap_values(scored, scorer.model.stages[-1], scorer.features)
+        scored = scorer.explainer(applications.sparkSession).explain(scored, scorer.features)
     ok = F.col("status") == "success"
     p = F.col("probability_default")
     out = {

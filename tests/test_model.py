@@ -1,5 +1,6 @@
 import itertools
 import math
+import pickle
 
 import numpy as np
 import pytest
@@ -79,7 +80,7 @@ def test_contributions_add_up(frame, fitted):
 def test_long_paths_give_the_same_result_without_tables(monkeypatch, spark, frame, fitted):
     data = np.array([[r.a, r.b, r.c] for r in frame.limit(50).collect()])
     with_tables = X.contributions(X.model_trees(spark, fitted.stages[-1]), data)
-    monkeypatch.setattr(X, "MAX_TABLE_FEATURES", 1)
+    monkeypatch.setattr(X, "TABLE_BYTES", 100)
     assert np.allclose(with_tables, X.contributions(X.model_trees(spark, fitted.stages[-1]), data))
 
 
@@ -195,3 +196,62 @@ def test_queries_train_at_full_size(spark, small, monkeypatch):
     assert len(seen["boosted"][0]) == 3 and not seen["boosted"][1]  # no parameters: those of the library
     assert set(seen["flexible"][0][0].columns) == {"application_id", *S.CANONICAL, "loan_status"} and "params" not in seen["flexible"][1]
     assert modeling._forest().getStages()[-1].getNumTrees() == T.FOREST["numTrees"]
+
+
+def random_tree(rng, depth, features):
+    """A full tree in the layout of a saved model."""
+    nodes = {}
+
+    def grow(level, count):
+        i = len(nodes)
+        nodes[i] = node = {"rawCount": count, "leftChild": -1, "rightChild": -1, "prediction": float(rng.normal()), "split": None}
+        if level < depth:
+            node["split"] = {"featureIndex": int(rng.integers(features)), "leftCategoriesOrThreshold": [float(rng.normal())]}
+            left = int(count * rng.uniform(0.2, 0.8))
+            node["leftChild"] = grow(level + 1, left)
+            node["rightChild"] = grow(level + 1, count - left)
+        return i
+
+    grow(0, 10**9)
+    return nodes
+
+
+@pytest.mark.parametrize("room", [0, 2000, 64 << 20])
+def test_deep_trees_equal_brute_force(monkeypatch, room):
+    monkeypatch.setattr(X, "TABLE_BYTES", room)
+    rng = np.random.default_rng(6)
+    nodes, rows = random_tree(rng, 7, 7), rng.normal(size=(3, 7))
+    trees = [X._tree(nodes, 1.0)]
+    X._tabulate(trees)
+    got = X.contributions(trees, rows)
+    for x, mine in zip(rows, got):
+        value = {s: expected_value(nodes, set(s), x) for k in range(8) for s in itertools.combinations(range(7), k)}
+        want = [
+            sum(math.factorial(len(s)) * math.factorial(6 - len(s)) / math.factorial(7) * (value[tuple(sorted({*s, j}))] - v) for s, v in value.items() if j not in s)
+            for j in range(7)
+        ]
+        assert mine == pytest.approx(want, abs=1e-9)
+
+
+def test_a_model_of_deep_trees_stays_small():
+    """A hundred trees of depth 10: what is sent to the executors stays below 300 MB."""
+    rng = np.random.default_rng(7)
+    trees = [X._tree(random_tree(rng, 10, 22), 1.0) for _ in range(100)]
+    X._tabulate(trees)
+    assert len(pickle.dumps(trees)) < 300 << 20
+    rows = rng.normal(size=(20, 22))
+    total = X.contributions(trees[:2], rows).sum(axis=1) + X.expected_value(trees[:2])
+
+    def run(node, x):
+        return node.value if isinstance(node, X.Leaf) else run(node.left if x[node.feature] <= node.cut else node.right, x)
+
+    assert total == pytest.approx([sum(run(t, x) for t in trees[:2]) for x in rows])
+
+
+def test_an_explainer_is_built_once(spark, applications, scorer, monkeypatch):
+    built = []
+    monkeypatch.setattr(X, "model_trees", lambda *a, read=X.model_trees: built.append(1) or read(*a))
+    rows = applications({"person_income": 1.0}).withColumn("application_id", F.lit(1))
+    fresh = P.Scorer(scorer.model, scorer.features, scorer.fill)
+    values = [P.score_batch(rows, fresh, explain=True).first().shap_values for _ in range(3)]
+    assert len(built) == 1 and values[0] == values[1] == values[2]
