@@ -1,10 +1,10 @@
 """Classifier metrics from label, prediction and score columns."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loanlens.functions.risk import ratio_or_zero
-from loanlens.operators.ordered import running_totals
+from loanlens.operators.ordered import running_totals, with_previous
 
 
 def _pairs(df: DataFrame, label: str, prediction: str) -> DataFrame:
@@ -138,8 +138,8 @@ def retraining_readiness(predictions: DataFrame | None, min_samples: int = 100,
 
 def metrics_gate(metrics: DataFrame, target: float = 0.85, alarm: float = 0.75) -> DataFrame:
     """Per metrics row: change of accuracy since the previous one of its type, and the quality flags."""
-    previous = F.lag("accuracy").over(Window.partitionBy("model_type").orderBy("evaluation_date", "model_version"))
-    return metrics.withColumn("accuracy_change", F.col("accuracy") - previous).withColumns({
+    rows = with_previous(metrics, ["model_type"], ["evaluation_date", "model_version"], "accuracy", "_previous")
+    return rows.withColumn("accuracy_change", F.col("accuracy") - F.col("_previous")).drop("_previous").withColumns({
         "accuracy_dropped": F.coalesce(F.col("accuracy_change") < 0, F.lit(False)),
         "auc_alarm": F.col("auc_roc") < alarm,
         "meets_target": (F.col("accuracy") > target) & (F.col("auc_roc") > target),

@@ -87,3 +87,20 @@ def running_totals(
         .withColumns({n: F.col(n) + F.col(f"_o_{n}") for n in totals})
         .drop(_BLOCK, _POS, *[f"_key_{k}" for k in keys], *[f"_o_{n}" for n in totals])
     )
+
+
+def with_previous(df: DataFrame, group: list[str], order: list, column: str, name: str, blocks: int | None = None) -> DataFrame:
+    """Add the value of ``column`` in the row before, within its group along ``order``; a hot group spans many tasks.
+
+    The first row of a group in a block takes the last value of the group's block before.
+    """
+    keys = [*group, _BLOCK]
+    cut = _blocks(df, [*group, *order], blocks)
+    lasts = cut.groupBy(*keys).agg(F.max_by(F.struct(column), _POS).alias("_last"), F.min(_POS).alias("_first"))
+    earlier = F.lag("_last").over(Window.partitionBy(*group).orderBy(_BLOCK))  # one row per group and block
+    lasts = lasts.select(*[F.col(k).alias(f"_key_{k}") for k in keys], "_first", earlier.getField(column).alias("_earlier"))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys])
+    inside = F.lag(column).over(Window.partitionBy(*keys).orderBy(_POS))
+    joined = cut.withColumn(name, inside).join(lasts, same)
+    value = F.when(F.col(_POS) == F.col("_first"), F.col("_earlier")).otherwise(F.col(name))
+    return joined.select(*[c for c in df.columns if c != name], value.alias(name))

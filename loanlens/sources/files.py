@@ -56,8 +56,8 @@ def _wider(one: T.DataType, two: T.DataType) -> T.DataType:
 
 
 def read_applications_csv(spark: SparkSession, path: str | list[str], schema: T.StructType | None = None,
-                          required: list[str] = (), names: Callable[[list[str]], list[str]] | None = None) -> DataFrame:
-    """Header CSV with a given or inferred schema; a required column that a file lacks fails before any scan.
+                          required: list[str] = (), names: Callable[[list[str]], list[str]] | None = None, infer: bool = True) -> DataFrame:
+    """Header CSV with a given or inferred schema (without ``infer``: text); a required column that a file lacks fails before any scan.
 
     Files may have different headers: those of one layout are read together, in splits, each column under its file's own
     name, and the layouts are united by name (absent columns are null). ``names`` maps a header to column names, so
@@ -75,7 +75,7 @@ def read_applications_csv(spark: SparkSession, path: str | list[str], schema: T.
             raise ValueError(f"missing columns {absent} in {layouts[header][0]}; found {list(header)}")
     reader = spark.read.option("header", True).option("enforceSchema", False)
     kinds = {f.name: f.dataType for f in schema} if schema is not None else {}
-    if schema is None:
+    if schema is None and infer:
         for header, files in layouts.items():
             inferred = spark.read.option("header", True).option("inferSchema", True).csv(files).schema
             for name, field in zip(called[header], inferred):
@@ -103,10 +103,9 @@ def canonical_names(header: list[str]) -> list[str]:
     return [aliases.get(normalize_name(h), normalize_name(h)) for h in header]
 
 
-def read_text_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Header CSV with every cell as text, for cell coercion afterwards; all files must have the same header."""
-    header = spark.read.option("header", True).csv(path).schema
-    return spark.read.option("header", True).option("enforceSchema", False).schema(header).csv(path)
+def read_text_csv(spark: SparkSession, path: str | list[str], names: Callable[[list[str]], list[str]] | None = None) -> DataFrame:
+    """Header CSV with every cell as text, for cell coercion afterwards; files may have headers of their own, as above."""
+    return read_applications_csv(spark, path, names=names, infer=False)
 
 
 def read_applications_json(spark: SparkSession, path: str, schema: T.StructType = S.APPLICATION_SCHEMA,
