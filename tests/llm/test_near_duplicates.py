@@ -130,6 +130,43 @@ def test_embedding_links_recall_and_precision(spark, monkeypatch):
     assert all(r["kept"] == (i == r["component_id"]) for i, r in got.items())
 
 
+def brute(x):
+    size = np.linalg.norm(x, axis=1)
+    close = (x @ x.T) / np.outer(size, size) >= 0.9
+    np.fill_diagonal(close, False)
+    return close
+
+
+def test_embeddings_of_several_lengths(spark):
+    rng, rows, links = np.random.default_rng(8), [], {}
+    for d, n in ((8, 60), (5, 12), (3, 2), (2, 1)):
+        x = rng.standard_normal((n, d))
+        x[: n // 2] = x[0] + 0.01 * rng.standard_normal((n // 2, d))
+        x[n // 2 - 1] = 3 * x[0]
+        links.update({len(rows) + i: int(c) for i, c in enumerate(brute(x).sum(axis=1))})
+        rows += [(len(rows) + i, v.tolist()) for i, v in enumerate(x)]
+    got = {r["vec_id"]: r["n_links"] for r in E.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == links
+
+
+def test_links_of_a_large_group_are_counted_not_listed(spark, monkeypatch):
+    monkeypatch.setattr(E, "MEMBERS", 400)
+    monkeypatch.setattr(E, "QUERIES", 900)
+    rng, n = np.random.default_rng(4), 3000
+    x = rng.standard_normal(32) + 0.05 * rng.standard_normal((n, 32))
+    x = np.concatenate([x, rng.standard_normal((500, 32))])
+    close = brute(x)
+    classes = spark.createDataFrame([(i, 1 + i % 3, v.astype("<f8").tobytes()) for i, v in enumerate(x)], "id long, n long, vec binary")
+    rows = E.class_links(classes, E.fit_index(classes, 0.9, "<f8"), 0.9, "<f8").collect()
+    counts = np.zeros(len(x), int)
+    for r in rows:
+        if r["b"] is None:
+            counts[r["a"]] += r["n"]
+    want = close @ (1 + np.arange(len(x)) % 3)
+    assert len(rows) < 200 * n and (counts[:n] <= want[:n]).all() and counts.sum() >= 0.97 * want.sum()
+    assert len(set(map(int, roots(range(n), [(r["a"], r["b"]) for r in rows if r["b"] is not None and r["a"] < n and r["b"] < n]).values()))) == 1
+
+
 def test_embeddings_that_link_with_nothing(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, None), (3, []), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, [1.0]), (9, [1.0]), (0, [1.0, 0.0]), (None, [0.0, 1.0])]
