@@ -227,21 +227,23 @@ def _divergence_sql() -> str:
     own AS (SELECT rid, lower(word) AS word, count(*) AS n FROM each GROUP BY rid, lower(word)),
     shares AS (SELECT b.rid, r.word, r.q, coalesce(o.n, 0) / b.n_words AS p FROM base b JOIN ref_words r USING (lang)
                LEFT JOIN own o ON o.rid = b.rid AND o.word = r.word WHERE b.n_words > 0),
-    filled AS (SELECT rid, q, CASE WHEN word IS NULL THEN 1 - sum(p) OVER (PARTITION BY rid) ELSE p END AS p FROM shares),
+    filled AS (SELECT rid, word, q, CASE WHEN word IS NULL THEN 1 - sum(p) OVER (PARTITION BY rid) ELSE p END AS p FROM shares),
     js_w AS (SELECT rid, round(sqrt(greatest(sum({jsd}) / 2, 0)), 9) AS js FROM filled GROUP BY rid),
-    judged AS (SELECT b.*, c.js AS js_classes, w.js AS js_common, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed
-               FROM base b LEFT JOIN js_c c USING (rid) LEFT JOIN js_w w USING (rid))
+    pairs AS (SELECT rid, p > q AS fewer, unnest([p, 1 - p]) AS p, unnest([q, 1 - q]) AS q FROM filled WHERE word IS NULL),
+    js_m AS (SELECT rid, CASE WHEN bool_and(fewer) THEN round(sqrt(greatest(sum({jsd}) / 2, 0)), 9) ELSE 0 END AS js FROM pairs GROUP BY rid),
+    judged AS (SELECT b.*, c.js AS js_classes, w.js AS js_common, m.js AS js_missing, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed
+               FROM base b LEFT JOIN js_c c USING (rid) LEFT JOIN js_w w USING (rid) LEFT JOIN js_m m USING (rid))
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
            NOT base_failed AND NOT coalesce((n_words >= {d.LEAST_WORDS_CLASSES} AND js_classes > {d.MOST_CLASSES})
-               OR (n_words >= {d.LEAST_WORDS_COMMON} AND js_common > {d.MOST_COMMON}), false) AS kept,
-           round(js_classes, 5) AS js_classes, round(js_common, 5) AS js_common
+               OR (n_words >= {d.LEAST_WORDS_COMMON} AND (js_common > {d.MOST_COMMON} OR js_missing > {d.MOST_MISSING})), false) AS kept,
+           round(js_classes, 5) AS js_classes, round(js_common, 5) AS js_common, round(js_missing, 5) AS js_missing
     FROM judged"""
 
 
 @query(_divergence_sql())
 def op5_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = divergence.judge(read_table(spark, sf_dir, "documents"))
-    return found.withColumns({c: F.round(c, 5) for c in ("js_classes", "js_common")})
+    return found.withColumns({c: F.round(c, 5) for c in ("js_classes", "js_common", "js_missing")})
 
 
 @query(integrity_sql.MERKLE)

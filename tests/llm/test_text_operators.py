@@ -92,6 +92,29 @@ def test_divergent_documents_are_not_kept(make_docs):
     assert all(got[i]["kept"] for i in range(100))
 
 
+@pytest.mark.parametrize("exact", [False, True])
+def test_long_prose_under_another_language_is_not_kept(make_docs, monkeypatch, exact):
+    if exact:  # a sketch that could be wrong by everything: all words are counted
+        monkeypatch.setattr(D, "SKETCH_ERROR", 1.0)
+    rng = random.Random(9)
+    listed = {lang: [prose(rng, lang, 1) for _ in range(200)] for lang in ("en", "de")}
+
+    def text(lang):
+        return " ".join(rng.choices(listed[lang], [1 / (i + 1) for i in range(200)], k=150))
+
+    rows = [(i, text("en" if i < 80 else "de"), "en" if i < 80 else "de", "s") for i in range(160)]
+    wrong = [(200 + i, text("de"), "en", "s") for i in range(5)] + [(205 + i, text("en"), "de", "s") for i in range(5)]
+    got = {r["doc_id"]: r for r in D.judge(make_docs([*rows, *wrong])).collect()}
+    assert all(got[i]["kept"] for i in range(160))
+    assert not any(got[i]["kept"] or got[i]["base_failed"] for i in range(200, 210))
+    assert all(got[i]["js_missing"] > D.MOST_MISSING > got[j]["js_missing"] for i in range(200, 210) for j in range(160))
+
+
+def test_common_candidates_of_flat_frequencies(make_docs):
+    rows = [(i, " ".join(f"w{(i * 50 + j) % 400}" for j in range(50)) + " w399", "en", "s") for i in range(40)]
+    assert D.common_candidates(make_docs(rows))["en"] == sorted(sorted(["w399", *(f"w{i}" for i in range(399))], key=lambda w: (w != "w399", w))[: D.COMMON_WORDS])
+
+
 def test_a_very_long_text(make_docs, odd_rows):
     long = next(r for r in odd_rows if r[0] == 103)
     assert D.judge(make_docs([long])).first()["n_words"] == 30_000
