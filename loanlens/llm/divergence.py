@@ -113,17 +113,21 @@ def base_counts(docs: DataFrame, candidates: dict[str, list[str]], key: str = "d
     )
     wanted = F.array().cast("array<string>")
     for name, listed in candidates.items():
-        own = F.filter(F.transform("words", F.lower), _one_of(listed))
+        own = F.filter("lowered", _one_of(listed))
         wanted = F.when(F.col("lang") == name, own).otherwise(wanted)
-    places = places.withColumn("wanted", F.sort_array(wanted))
+    places = places.withColumn("lowered", words(F.lower("body"))).withColumn("wanted", F.sort_array(wanted))
+    # Equal words stand side by side: where a run of them begins, and where the next one does, gives their number.
+    starts = F.filter(F.transform("wanted", lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda x: ~F.equal_null(F.get("wanted", x["at"] - 1), x["word"]))
+    places = places.withColumn("starts", starts)
+    tally = F.transform("starts", lambda x, i: F.struct(
+        x["word"].alias("word"), (F.coalesce(F.get("starts", i + 1)["at"], F.size("wanted")) - x["at"]).cast("long").alias("n")))
     counted = places.select(
         "key", "lang", "body", n.cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         symbol_count(F.col("body")).alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         covered.alias("n_repeat_words"),
-        F.map_from_entries(F.transform(F.array_distinct("wanted"), lambda w: F.struct(
-            w.alias("word"), (F.size("wanted") - F.size(F.array_remove("wanted", w))).cast("long").alias("n")))).alias("common"),
+        F.map_from_entries(tally).alias("common"),
     )
     length = F.length("body").cast("long")
     by_regex = [F.regexp_count("body", F.lit(p)).cast("long") for p in (r"[A-Z]", r"[0-9]", r"[!-/:-@\[-`{-~]", r"[^\x00-\x7F]")]
