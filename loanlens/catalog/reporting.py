@@ -10,6 +10,8 @@ from loanlens.operators import evaluate as V
 from loanlens.operators import joins as J
 from loanlens.operators import reports as R
 from loanlens.operators import validate as Q
+from loanlens.session import scratch_path
+from loanlens.sources.buckets import BucketedTable
 
 _PRED = "id, application_id, risk_level, probability_default, model_type, created_at"
 _PRED_COLUMNS = [c.strip() for c in _PRED.split(",")]
@@ -360,6 +362,35 @@ def update_application(spark, sf_dir):
     return J.apply_updates(apps, updates)
 
 
+def _stored(spark, rows, buckets=16):
+    """``rows`` as a bucketed table of their own."""
+    store = BucketedTable(spark, scratch_path(spark, "buckets"), rows.schema, "id", buckets)
+    store.create(rows)
+    return store
+
+
+@query(_RECORDED, "preds")
+def record_feedback_in_place(spark, sf_dir):
+    """Feedback laid over a stored table: only buckets that hold ids of the feedback are read and written."""
+    store = _stored(spark, W.predictions(spark, sf_dir).select(
+        "id", "actual_outcome", F.lit(None).cast("timestamp_ntz").alias("feedback_date"), "risk_level"
+    ))
+    store.update(_feedback(spark, sf_dir), J.record_feedback)
+    return store.read()
+
+
+@query("""SELECT id, CASE WHEN id <= 40 AND id % 10 = 0 THEN 1 + person_age ELSE person_age END AS person_age, loan_amnt,
+            CASE WHEN id <= 40 AND id % 10 = 0 THEN 'rejected' ELSE application_status END AS application_status FROM stored_apps""", "stored_apps")
+def update_application_in_place(spark, sf_dir):
+    """Two columns of a few applications of a stored table."""
+    apps = _apps(spark, sf_dir)
+    store = _stored(spark, apps)
+    store.update(apps.where("id <= 40 AND id % 10 = 0").select(
+        "id", (F.col("person_age") + 1).alias("person_age"), F.lit("rejected").alias("application_status"), F.lit(1).alias("updated_at")
+    ))
+    return store.read()
+
+
 @query("""SELECT application_id, CASE WHEN bad THEN 'error' ELSE 'success' END AS status,
             CASE WHEN NOT bad THEN loan_amnt END AS loan_amnt, CASE WHEN bad THEN 'person_age: above 100' END AS error
           FROM (SELECT *, person_age > 100 AS bad FROM apps WHERE person_age >= 18)""", "apps")
