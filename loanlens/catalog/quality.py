@@ -10,7 +10,8 @@ from loanlens.operators import impute as I
 from loanlens.operators import stats as A
 from loanlens.operators import validate as V
 from loanlens.operators.stats import FillValues
-from loanlens.session import materialize
+from loanlens.plans.history import HistoryStatistics
+from loanlens.session import materialize, scratch_path
 
 _ROUNDED = ", ".join(f"round({c}, 6) AS {c}" for c in S.NUMERIC)
 _CATEGORIES = ", ".join(S.CATEGORICAL)
@@ -145,6 +146,26 @@ def historical_stats(spark, sf_dir):
     return _stats_rows(A.historical_statistics(rows, S.NUMERIC), list(_STATS))
 
 
+def _imported(spark, sf_dir, numeric, text) -> HistoryStatistics:
+    """The applications as three imports, the last of which comes twice."""
+    made = HistoryStatistics(spark, scratch_path(spark, "statistics"), numeric, text)
+    rows = I.uppercase_categoricals(W.applications(spark, sf_dir))
+    for number in (1, 2, 3, 3):
+        made.add(rows.where(F.col("application_id") % 3 == number - 1), number)
+    return made
+
+
+@query(_stats_sql(list(_STATS)), "apps")
+def historical_stats_by_import(spark, sf_dir):
+    """Moments and histograms of the imports added up; of the values only the quantiles' buckets are read."""
+    return _stats_rows(_imported(spark, sf_dir, S.NUMERIC, []).historical(), list(_STATS))
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS feature, m_{c} AS mode FROM modes" for c in S.CATEGORICAL), "modes")
+def categorical_modes_by_import(spark, sf_dir):
+    return _imported(spark, sf_dir, [], S.CATEGORICAL).modes()
+
+
 @query(_stats_sql(["min", "max", "mean", "std"]), "apps")
 def feature_statistics(spark, sf_dir):
     return _stats_rows(A.feature_statistics(W.applications(spark, sf_dir), S.NUMERIC), ["min", "max", "mean", "std"])

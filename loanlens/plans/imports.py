@@ -8,6 +8,7 @@ from loanlens.functions.names import check_name
 from loanlens.functions.risk import outcome_from_columns
 from loanlens.operators import mapping as M
 from loanlens.operators.ordered import with_row_index
+from loanlens.plans.history import HistoryStatistics
 from loanlens.session import materialize
 
 
@@ -63,11 +64,13 @@ def import_history_minimal(df: DataFrame) -> DataFrame:
     )
 
 
-def import_into(df: DataFrame, applications, predictions, order: list[str], mapping: dict | None = None) -> int:
+def import_into(df: DataFrame, applications, predictions, order: list[str], mapping: dict | None = None,
+                statistics: HistoryStatistics | None = None) -> int:
     """Run ``import_history`` against stored tables (schema widened as needed); returns the row count.
 
     A cell that does not fit the stored type of its column becomes null there and is kept as ``column=value`` in
-    ``notes``. Both outputs come from one written batch.
+    ``notes``. Both outputs come from one written batch, and so does its part of ``statistics``, which bears the number of
+    the batch's first id.
     """
     last = 0
     if applications.exists():
@@ -85,4 +88,7 @@ def import_into(df: DataFrame, applications, predictions, order: list[str], mapp
     new_apps = materialize(new_apps, "import")
     applications.append(new_apps)
     predictions.append(new_preds)
-    return new_apps.count()
+    count = new_apps.count()
+    if statistics is not None and count:
+        statistics.add(new_apps, last + 1)
+    return count
