@@ -101,7 +101,7 @@ def create_dynamic_table(spark, sf_dir):
     return M.create_dynamic_table(rows)
 
 
-INFERRED = ["application_id", "loan_status", "loan_grade", "loan_amnt"]
+INFERRED = ["application_id", *S.CANONICAL, "loan_status"]
 
 
 @query(" UNION ALL ".join(
@@ -109,7 +109,7 @@ INFERRED = ["application_id", "loan_status", "loan_grade", "loan_amnt"]
         THEN 'double' ELSE 'string' END AS inferred_type FROM apps""" for c in INFERRED), "apps")
 def infer_column_type(spark, sf_dir):
     """Types of a text-only file."""
-    text = files.read_text_csv(spark, _csv(spark, sf_dir))
+    text = files.read_text_csv(spark, _csv(spark, sf_dir)).withColumnsRenamed(S.RAW_NAMES)
     return M.infer_column_types(text, INFERRED)
 
 

@@ -93,7 +93,7 @@ def one_hot_sparse(spark, sf_dir):
 
 
 _IN_TEST = "substr(md5(application_id || ':42'), 1, 4) < '3333'"
-_SCALED = ["person_age", "person_income", "loan_amnt"]
+_SCALED = S.NUMERIC
 
 
 @query("SELECT application_id, " + ", ".join(
@@ -188,15 +188,14 @@ def kfold_assignment(spark, sf_dir):
     )
 
 
-@query("""SELECT 'p' || application_id AS row_key, person_age, loan_amnt, home_ownership, loan_status FROM apps
-          WHERE loan_status IS NOT NULL
-          UNION ALL SELECT 'o' || application_id, person_age, loan_amnt, upper(home_ownership), loan_status FROM apps
-          WHERE loan_status IS NOT NULL""", "apps")
+@query(f"""SELECT 'p' || application_id AS row_key, {", ".join(S.CANONICAL)}, loan_status FROM apps WHERE loan_status IS NOT NULL
+          UNION ALL SELECT 'o' || application_id, {", ".join(f"upper({c})" if c in S.CATEGORICAL else c for c in S.CANONICAL)}, loan_status
+          FROM apps WHERE loan_status IS NOT NULL""", "apps")
 def extract_training_data(spark, sf_dir):
     """Feedback rows and the original dataset under one set of columns."""
     original = W.raw_dataset(spark, sf_dir).withColumn("row_key", F.concat(F.lit("o"), F.col("application_id").cast("string")))
     rows = T.extract_training_data(_feedback_rows(spark, sf_dir), original.drop("application_id"))
-    return rows.select("row_key", "person_age", "loan_amnt", "home_ownership", "loan_status")
+    return rows.select("row_key", *S.CANONICAL, "loan_status")
 
 
 @query("""SELECT application_id, CAST(NULL AS VARCHAR) AS raw_only, person_age, loan_amnt FROM apps WHERE application_id % 2 = 0
@@ -208,10 +207,18 @@ def union_training_sources(spark, sf_dir):
     return T.union_training_sources(feedback, original)
 
 
-@query("""SELECT application_id, round(COALESCE(person_income, m_person_income), 6) AS person_income, """ + ", ".join(
-    f"CAST(upper(COALESCE(home_ownership, 'UNKNOWN')) = '{v}' AS INTEGER) AS \"home_ownership_{v}\""
-    for v in ("MORTGAGE", "OTHER", "OWN", "RENT", "UNKNOWN")) + " FROM upper_apps, fills", "upper_apps fills")
+#: The values that the categorical columns of the given tables hold.
+_HELD = {
+    "home_ownership": ("MORTGAGE", "OTHER", "OWN", "RENT", "UNKNOWN"),
+    "loan_intent": ("DEBTCONSOLIDATION", "EDUCATION", "HOMEIMPROVEMENT", "MEDICAL", "PERSONAL", "UNKNOWN", "VENTURE"),
+    "loan_grade": ("A", "B", "C", "D", "E"), "default_on_file": ("N", "UNKNOWN", "Y"),
+}
+
+
+@query("SELECT application_id, " + ", ".join(f"round(COALESCE({c}, m_{c}), 6) AS {c}" for c in S.NUMERIC) + ", " + ", ".join(
+    f"CAST(upper(COALESCE({c}, 'UNKNOWN')) = '{v}' AS INTEGER) AS \"{c}_{v}\"" for c, held in _HELD.items() for v in held)
+    + " FROM upper_apps, fills", "upper_apps fills")
 def prepare_features(spark, sf_dir):
-    rows = W.applications(spark, sf_dir, ["application_id", "person_income", "home_ownership", "loan_status"])
+    rows = W.applications(spark, sf_dir, ["application_id", *S.CANONICAL, "loan_status"])
     prepared, _ = T.prepare_features(rows, ["application_id"])
-    return prepared.withColumn("person_income", r6("person_income"))
+    return prepared.withColumns({c: r6(c) for c in S.NUMERIC})

@@ -144,13 +144,16 @@ def export_batch_results(spark, sf_dir):
     return files.batch_result_rows(rows)
 
 
-@query("""SELECT id, loan_amnt, loan_grade,
+_KEPT = ["id", *[c for c in S.CANONICAL if c != "person_age"], "loan_status"]
+
+
+@query(f"""SELECT {", ".join(_KEPT)},
             CASE WHEN id % 2 = 1 THEN person_age END AS credit_score,
             CASE WHEN id % 2 = 1 THEN 'approved' ELSE application_status END AS application_status
           FROM stored_apps""", "stored_apps")
 def insert_applications(spark, sf_dir):
     """Half of the applications appended to a stored table that lacks one of their columns."""
-    apps = W.stored_applications(spark, sf_dir, ["id", "loan_amnt", "loan_grade", "application_status", "person_age"])
+    apps = W.stored_applications(spark, sf_dir, [*_KEPT, "application_status", "person_age"])
     store = tables.Table(spark, scratch_path(spark, "applications"))
     store.append(apps.where("id % 2 = 0").drop("person_age"))
     incoming = apps.where("id % 2 = 1").withColumnRenamed("person_age", "credit_score")
@@ -177,29 +180,26 @@ HISTORY_ALIASES = {
 }
 
 
-@query("""SELECT row_number() OVER (ORDER BY application_id) AS application_id, application_id AS source_id, person_age,
-            loan_amnt, home_ownership, actual_outcome, COALESCE(actual_outcome, 0) AS binary_prediction,
+@query(f"""SELECT row_number() OVER (ORDER BY application_id) AS application_id, application_id AS source_id,
+            {", ".join(S.CANONICAL)}, actual_outcome, COALESCE(actual_outcome, 0) AS binary_prediction,
             'Historical' AS risk_level, CAST(0 AS DOUBLE) AS probability_default, 'historical_import' AS model_type,
             CASE WHEN actual_outcome IS NOT NULL THEN TIMESTAMP '2025-01-01' END AS feedback_date,
             'approved' AS application_status
           FROM (SELECT *, loan_status AS actual_outcome FROM apps)""", "apps")
 def import_history(spark, sf_dir):
     """A history file with foreign headers, as linked application and prediction rows."""
-    columns = ["application_id", *HISTORY_ALIASES]
+    columns = ["application_id", *S.CANONICAL, "loan_status"]
     source = W.applications(spark, sf_dir).select(*columns).withColumnsRenamed(HISTORY_ALIASES)
     apps, preds = P.import_history(source, ["application_id"], now=NOW)
-    features = T.StructType([
-        T.StructField("application_id", T.LongType()), T.StructField("person_age", T.DoubleType()),
-        T.StructField("loan_amnt", T.DoubleType()), T.StructField("home_ownership", T.StringType()),
-    ])
+    features = T.StructType([T.StructField("application_id", T.LongType()), *S.APPLICATION_SCHEMA.fields])
     preds = preds.withColumn("f", F.from_json("input_features", features)).select(
-        "application_id", F.col("f.application_id").alias("source_id"), "f.person_age", "f.loan_amnt", "f.home_ownership",
+        "application_id", F.col("f.application_id").alias("source_id"), *[f"f.{c}" for c in S.CANONICAL],
         "actual_outcome", "binary_prediction", "risk_level", "probability_default", "model_type", "feedback_date",
     )
     return preds.join(apps.select(F.col("id").alias("application_id"), "application_status"), "application_id")
 
 
-@query("""SELECT person_income, home_ownership, default_on_file, 'Unknown' AS risk_level,
+@query(f"""SELECT {", ".join(S.CANONICAL)}, 'Unknown' AS risk_level,
             CAST(0.5 AS DOUBLE) AS probability_default, COALESCE(loan_status, 0) AS binary_prediction,
             'imported_data' AS model_type, loan_status AS actual_outcome,
             CAST((person_age IS NOT NULL)::INT + (person_income IS NOT NULL)::INT + (person_emp_length IS NOT NULL)::INT
@@ -209,13 +209,9 @@ def import_history(spark, sf_dir):
               AS INTEGER) AS features
           FROM apps""", "apps")
 def import_history_minimal(spark, sf_dir):
-    features = T.StructType([
-        T.StructField("person_income", T.DoubleType()), T.StructField("home_ownership", T.StringType()),
-        T.StructField("default_on_file", T.StringType()),
-    ])
     rows = P.import_history_minimal(W.raw_dataset(spark, sf_dir))
     return rows.withColumns({
-        "f": F.from_json("input_features", features), "features": F.size(F.json_object_keys("input_features")),
+        "f": F.from_json("input_features", S.APPLICATION_SCHEMA), "features": F.size(F.json_object_keys("input_features")),
     }).select(
         "f.*", "risk_level", "probability_default", "binary_prediction", "model_type", "actual_outcome", "features"
     )

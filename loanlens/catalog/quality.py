@@ -222,7 +222,7 @@ def impute_application(spark, sf_dir):
     return _rounded(W.imputed(spark, sf_dir), *S.CATEGORICAL)
 
 
-_TRAIN = ["person_income", "person_emp_length", "loan_amnt"]
+_TRAIN = S.NUMERIC
 
 
 @query("SELECT application_id, " + ", ".join(f"round(COALESCE({c}, m_{c}), 6) AS {c}" for c in _TRAIN) + " FROM upper_apps, fills",
@@ -299,11 +299,11 @@ def join_stats(spark, sf_dir):
     )
 
 
-_PROFILED = ["person_age", "loan_amnt", "loan_grade", "loan_intent", "loan_status"]
+_PROFILED = ["application_id", *S.CANONICAL, "loan_status", "created_at"]
 
 
 @query(" UNION ALL ".join(
-    f"""SELECT '{c}' AS column_name, '{"text" if c in S.CATEGORICAL else "numeric"}' AS data_type, count(*) AS row_count,
+    f"""SELECT '{c}' AS column_name, '{"text" if c in [*S.CATEGORICAL, "created_at"] else "numeric"}' AS data_type, count(*) AS row_count,
       count(*) - count({c}) AS null_count, count(DISTINCT {c}) AS distinct_count FROM apps""" for c in _PROFILED), "apps")
 def column_profile(spark, sf_dir):
     return A.column_profile(W.applications(spark, sf_dir), _PROFILED)

@@ -204,6 +204,16 @@ def feature_keys(df: DataFrame, name: str = "input_features") -> DataFrame:
     return df.select(F.explode(F.json_object_keys(name)).alias("feature")).distinct()
 
 
+def feature_kinds(df: DataFrame, name: str = "input_features") -> DataFrame:
+    """``(feature, kind)`` of every key of a JSON text column, in one pass: double if all its values are numbers, else string.
+
+    A number in quotes is a number; nested values are text; a key that holds nothing but nulls is a double. Texts that are no object have no keys.
+    """
+    entries = F.explode(F.from_json(name, "map<string, string>"))
+    number = F.count(F.col("value").try_cast("double")) == F.count("value")
+    return df.select(entries).groupBy(F.col("key").alias("feature")).agg(F.when(number, "double").otherwise("string").alias("kind"))
+
+
 def rename_original_dataset(df: DataFrame) -> DataFrame:
     """Raw dataset to canonical names; categoricals upper-cased, other features to double where they parse."""
     df = df.withColumnsRenamed(S.RAW_NAMES)

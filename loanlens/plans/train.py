@@ -45,15 +45,11 @@ def union_training_sources(feedback: DataFrame, original: DataFrame | None) -> D
 
 
 def stored_feature_schema(rows: DataFrame, name: str = "input_features") -> T.StructType:
-    """The application's columns and all further keys of the stored JSON texts (one row per key is collected)."""
-    further = sorted(r["feature"] for r in M.feature_keys(rows, name).collect() if r["feature"] not in S.APPLICATION_SCHEMA.names)
-    further = [c for c in further if c not in S.TARGETS]
-    if not further:
-        return S.APPLICATION_SCHEMA
-    texts = M.unpack_features(rows.select(name), T.StructType([T.StructField(c, T.StringType()) for c in further]), name)
-    kinds = {r["column_name"]: r["inferred_type"] for r in M.infer_column_types(texts, further).collect()}
+    """The application's columns and all further keys of the stored JSON texts (one row per key is collected, in one pass)."""
+    known = [*S.APPLICATION_SCHEMA.names, *S.TARGETS]
+    kinds = {r["feature"]: r["kind"] for r in M.feature_kinds(rows, name).where(~F.col("feature").isin(known)).collect()}
     found = {"double": T.DoubleType(), "string": T.StringType()}
-    return T.StructType([*S.APPLICATION_SCHEMA.fields, *(T.StructField(c, found[kinds[c]]) for c in further)])
+    return T.StructType([*S.APPLICATION_SCHEMA.fields, *(T.StructField(c, found[kinds[c]]) for c in sorted(kinds))])
 
 
 def extract_training_data(predictions: DataFrame, original: DataFrame | None = None,
@@ -75,7 +71,7 @@ def extract_training_data(predictions: DataFrame, original: DataFrame | None = N
             F.concat(F.lit("p"), F.col("id").cast("string")).alias("row_key"), "input_features",
             F.col("actual_outcome").cast("int").alias("loan_status"),
         ), texts,
-    ).withColumns({f.name: F.col(f"`{f.name}`").try_cast(f.dataType) for f in schema})
+    ).withColumns({f.name: quoted(f.name).try_cast(f.dataType) for f in schema})
     if original is None:
         return feedback
     status = next((c for c in ("loan_status", "loan_status_num") if c in original.columns), None)

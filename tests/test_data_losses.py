@@ -45,6 +45,27 @@ def test_stored_keys_outside_the_application_are_features(spark):
     }
 
 
+def test_keys_and_kinds_of_stored_features_come_from_one_pass(spark):
+    wide = ",".join(f'"k{i}":{i}' for i in range(1000))
+    texts = [
+        '{"nested":{"a":[1,2]},"mixed":1,"quoted":"2.5","none":null,"flag":true,"a.b`c":3}', '{"nested":5,"mixed":"x","quoted":4,"":"e"}',
+        f"{{{wide}}}", "[1]", "no json", "", None, '{"person_age":"old"}',
+    ]
+    stored = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "id long, input_features string, actual_outcome int")
+    kinds = {r.feature: r.kind for r in M.feature_kinds(stored).collect()}
+    assert {k: kinds[k] for k in ("nested", "mixed", "quoted", "none", "flag", "a.b`c", "")} == {
+        "nested": "string", "mixed": "string", "quoted": "double", "none": "double", "flag": "string", "a.b`c": "double", "": "string",
+    }
+    assert all(kinds[f"k{i}"] == "double" for i in range(1000)) and kinds["person_age"] == "string"
+    schema = train.stored_feature_schema(stored)
+    assert len(schema) == 11 + 7 + 1000 and schema["k7"].dataType.typeName() == "double"
+    rows = {r.row_key: r for r in train.extract_training_data(stored, schema=schema).collect()}
+    assert len(rows) == 7  # one for each row that holds a text
+    assert rows["p0"]["nested"] == '{"a":[1,2]}' and rows["p0"]["quoted"] == 2.5 and rows["p0"]["a.b`c"] == 3.0
+    assert (rows["p1"]["nested"], rows["p1"]["mixed"], rows["p1"]["quoted"], rows["p1"][""]) == ("5", "x", 4.0, "e")
+    assert rows["p2"]["k999"] == 999.0 and rows["p7"]["person_age"] is None
+
+
 def test_null_groups_keep_their_rows(spark):
     rows = spark.createDataFrame([(None, 1, 5), (None, 2, 6), ("a", 3, 7)], "g string, t int, n int")
     got = {r.t: (r.upto, r.n) for r in O.running_totals(rows, ["g"], ["t"], {"upto": "n"}, 3).collect()}
