@@ -255,3 +255,17 @@ def test_an_explainer_is_built_once(spark, applications, scorer, monkeypatch):
     fresh = P.Scorer(scorer.model, scorer.features, scorer.fill)
     values = [P.score_batch(rows, fresh, explain=True).first().shap_values for _ in range(3)]
     assert len(built) == 1 and values[0] == values[1] == values[2]
+
+
+def test_trees_train_on_even_parts(spark, monkeypatch):
+    """Each level of each tree is a job: its tasks follow cores and rows, not the partitions of the raw frame."""
+    from loanlens import session
+
+    seen, cores = [], spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(T.GBTClassifier, "fit", lambda self, rows: seen.append(rows.rdd.glom().map(len).collect()))
+    frame = spark.range(0, 4000, 1, 200).select((F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 2).alias("label"))
+    T.fit_boosted_trees(frame, ["a"], "label")
+    monkeypatch.setattr(session, "TASK_ROWS", 100)
+    T.fit_boosted_trees(frame, ["a"], "label")
+    assert [sum(x) for x in seen] == [4000, 4000]
+    assert len(seen[0]) == cores and len(seen[1]) == -(-4000 // (cores * 100)) * cores and max(seen[1]) <= 110
