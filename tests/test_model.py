@@ -269,3 +269,35 @@ def test_trees_train_on_even_parts(spark, monkeypatch):
     T.fit_boosted_trees(frame, ["a"], "label")
     assert [sum(x) for x in seen] == [4000, 4000]
     assert len(seen[0]) == cores and len(seen[1]) == -(-4000 // (cores * 100)) * cores and max(seen[1]) <= 110
+
+
+def test_folds_of_a_large_frame_run_alone(spark, monkeypatch):
+    from loanlens import session
+
+    frame = spark.range(400).select("id", (F.col("id") % 7).cast("double").alias("a"), F.lit("x").alias("b"), (F.col("id") % 2).cast("int").alias("label"))
+    cores = spark.sparkContext.defaultParallelism
+    assert T.folds_at_once(frame, 5) == 5
+    monkeypatch.setattr(session, "TASK_ROWS", 100 // cores)  # all cores hold a quarter of the frame
+    assert T.folds_at_once(frame, 5) == 1 and T.folds_at_once(frame.limit(0), 5) == 5
+    scores, mean = T.kfold_cv(frame, T.forest_pipeline(["a"], ["b"], params={"numTrees": 2}), "id", folds=3)
+    assert len(scores) == 3 and mean == pytest.approx(sum(scores) / 3)
+
+
+def test_forest_query_trains_on_even_parts(spark, small, monkeypatch):
+    from loanlens import session
+    from loanlens.catalog import modeling
+
+    seen = []
+
+    class Stop(Exception):
+        pass
+
+    def fit(self, rows):
+        seen.append(max(rows.rdd.glom().map(len).collect()))
+        raise Stop
+
+    monkeypatch.setattr(session, "TASK_ROWS", 20)
+    monkeypatch.setattr(modeling.M.Pipeline, "fit", fit)
+    with pytest.raises(Stop):
+        modeling.train_random_forest(spark, small)
+    assert seen[0] <= 25
