@@ -301,3 +301,38 @@ def test_forest_query_trains_on_even_parts(spark, small, monkeypatch):
     with pytest.raises(Stop):
         modeling.train_random_forest(spark, small)
     assert seen[0] <= 25
+
+
+def test_queries_share_one_join(spark, small, monkeypatch):
+    """Fill values, training and scoring read applications that were joined and written once, and again only if their folder is gone."""
+    import shutil
+
+    from loanlens.catalog import modeling
+    from loanlens.catalog import views as W
+
+    made, real = [], W.applications
+    monkeypatch.setattr(W, "applications", lambda *a: made.append(a) or real(*a))
+    W._written.cache_clear()
+    W._fill.cache_clear()
+    monkeypatch.setitem(T.BOOSTED, "maxIter", 1)
+    fitted = modeling.P.Scorer(modeling._trained.__wrapped__("", spark, small), modeling.FEATURES, W.fill_values(spark, small))
+    rows = modeling.P.score(modeling._encoded(spark, small), fitted.model)
+    labelled = real(spark, small).where("loan_status IS NOT NULL").count()
+    assert rows.count() == labelled and "first_line" not in rows._jdf.queryExecution().toString()
+    assert len(made) == 1
+    written = W.written_applications(spark, small)
+    assert written.exceptAll(real(spark, small)).isEmpty() and real(spark, small).exceptAll(written).isEmpty()
+    shutil.rmtree(W._written(spark.sparkContext.applicationId, spark, small)[0])
+    assert W.written_applications(spark, small).count() == written.sparkSession.read.parquet(f"{small}/orders.parquet").count()
+    assert len(made) == 2
+
+
+def test_medians_need_no_frame(spark, monkeypatch):
+    from loanlens.operators import impute, stats
+
+    rows = spark.createDataFrame([(1.0, None, None), (2.0, 5.0, None), (4.0, 7.0, None)], "a double, b double, c double")
+    want = {r.feature: r.median for r in stats.quantiles(rows, ["a", "b", "c"], {"median": 0.5}).collect()}
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda *a, **k: 1 / 0)
+    assert impute.train_medians(rows, ["a", "b", "c"]) == want == {"a": 2.0, "b": 6.0}
+    assert stats.fit_fill_values(rows.withColumnsRenamed({"a": "loan_amnt", "b": "person_age"})).medians == {"loan_amnt": 2.0, "person_age": 6.0}
+    assert impute.train_medians(rows, ["a"], 100) == {"a": 2.0} and impute.train_medians(rows, []) == {}
