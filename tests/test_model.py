@@ -327,6 +327,23 @@ def test_queries_share_one_join(spark, small, monkeypatch):
     assert len(made) == 2
 
 
+def test_flexible_training_reads_its_frame_once(spark, monkeypatch):
+    """Column kinds, medians, categories and split read a written copy: an expensive frame is worked out once."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def costly(x):
+        read.add(1)
+        return float(x % 97)
+
+    rows = spark.range(400).select("id", costly("id").alias("a"), F.concat(F.lit("c"), F.col("id") % 3).alias("b"), (F.col("id") % 2).alias("loan_status"))
+    result = T.train_flexible(rows, "id", params={"maxIter": 1})
+    assert read.value == 400 and result.train_rows + result.test_rows == 400
+    assert result.details["numeric_features"] == ["a"] and result.details["categorical_features"] == ["b"]
+    given = {"target": "loan_status", "numeric": ["a"], "categorical": ["b"]}
+    assert T.train_flexible(rows, "id", given, params={"maxIter": 1}).metrics == result.metrics
+
+
 def test_medians_need_no_frame(spark, monkeypatch):
     from loanlens.operators import impute, stats
 
