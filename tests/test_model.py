@@ -344,6 +344,23 @@ def test_flexible_training_reads_its_frame_once(spark, monkeypatch):
     assert T.train_flexible(rows, "id", given, params={"maxIter": 1}).metrics == result.metrics
 
 
+def test_retraining_reads_its_predictions_once(spark):
+    """Gate, keys and extraction read a written copy: expensive predictions are worked out once."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def costly(x):
+        read.add(1)
+        return x % 2 if x >= 40 else None
+
+    texts = F.to_json(F.struct((F.col("id") % 97 + 0.5).alias("person_age"), F.concat(F.lit("c"), F.col("id") % 3).alias("extra")))
+    rows = spark.range(400).select("id", texts.alias("input_features"), costly("id").alias("actual_outcome"))
+    done = T.retrain(rows, params={"maxIter": 1})
+    assert read.value == 400 and done["training_samples"] + done["test_samples"] == 360
+    assert (done["readiness"]["total_predictions"], done["readiness"]["feedback_count"]) == (400, 360)
+    assert {"person_age", "extra_C0", "extra_C1", "extra_C2"} <= set(done["result"].features)
+
+
 def test_medians_need_no_frame(spark, monkeypatch):
     from loanlens.operators import impute, stats
 
