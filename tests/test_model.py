@@ -370,3 +370,22 @@ def test_medians_need_no_frame(spark, monkeypatch):
     assert impute.train_medians(rows, ["a", "b", "c"]) == want == {"a": 2.0, "b": 6.0}
     assert stats.fit_fill_values(rows.withColumnsRenamed({"a": "loan_amnt", "b": "person_age"})).medians == {"loan_amnt": 2.0, "person_age": 6.0}
     assert impute.train_medians(rows, ["a"], 100) == {"a": 2.0} and impute.train_medians(rows, []) == {}
+
+
+def test_small_subtrees_are_looked_up_together(monkeypatch):
+    """Leaves share tables, a table a subtree: with any bound the contributions are those of single leaves."""
+    rng = np.random.default_rng(9)
+    nodes, rows = [random_tree(rng, 6, 5) for _ in range(3)], rng.normal(size=(200, 5))
+
+    def found(block):
+        monkeypatch.setattr(X, "BLOCK_BYTES", block)
+        trees = [X._tree(n, 1.0) for n in nodes]
+        X._tabulate(trees)
+        return X.contributions(trees, rows), sum(tables(t) for t in trees)
+
+    def tables(node):
+        return 1 if node.table is not None else 0 if isinstance(node, X.Leaf) else tables(node.left) + tables(node.right)
+
+    (alone, none), (some, many), (all_, few) = found(0), found(1 << 10), found(1 << 16)
+    assert none == 0 and 0 < few < many < 3 * 64 and few <= 3 * 16
+    assert np.allclose(some, alone, atol=1e-12) and np.allclose(all_, alone, atol=1e-12)
